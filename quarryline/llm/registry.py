@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import bpe, quality
+from quarryline.llm import bpe, curriculum, quality, secrets_lex, url_vocab, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op4_url_filters": url_vocab.op4_url_filters,
+        "op5_source_mix": curriculum.op5_source_mix,
+        "op8_secret_scan": secrets_lex.op8_secret_scan,
+        "op9_warc": warc.op9_warc,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": url_vocab.OP4_SQL, "op5_source_mix": curriculum.OP5_SQL, "op9_warc": warc.OP9_SQL}
