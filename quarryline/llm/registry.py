@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import bpe, curriculum, media_archive, quality, secrets_lex, url_vocab, warc
+from quarryline.llm import bpe, curriculum, licenses, media_archive, quality, secrets_lex, url_vocab, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": url_vocab.op4_url_filters,
         "op5_source_mix": curriculum.op5_source_mix,
         "op6_media_columns": media_archive.op6_media_columns,
+        "op7_license_scan": licenses.op7_license_scan,
         "op8_secret_scan": secrets_lex.op8_secret_scan,
         "op9_warc": warc.op9_warc,
         "op10_byte_bpe": bpe.op10_byte_bpe,
