@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import bpe, curriculum, licenses, media_archive, quality, secrets_lex, url_vocab, warc
+from quarryline.llm import bpe, curriculum, licenses, line_chunks, media_archive, near_dups, quality, secrets_lex, url_vocab, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_near_dedup": near_dups.op2_near_dedup,
+        "op3_line_dedup": line_chunks.op3_line_dedup,
         "op4_url_filters": url_vocab.op4_url_filters,
         "op5_source_mix": curriculum.op5_source_mix,
         "op6_media_columns": media_archive.op6_media_columns,
