@@ -11,6 +11,9 @@ with all members; leaders are then done in that bucket, and a bucket is done onc
 leaders grows fourfold a round, so all pairs of different classes are compared in the end, yet a large group of near copies costs a
 few comparisons a member. Nothing is capped.
 
+Before the second round, shingles that no other open text has are set aside: what is left of a text bounds its overlap with any
+other, which proves most texts of a loose group without link and leaves few to compare. Nothing is lost by it.
+
 Verification: sum of least counts over sum of greatest counts of the shingles, `least` or more. Classes: contraction of links to the
 least neighbour, in rounds over written tables.
 
@@ -160,6 +163,30 @@ def similarities(pairs: DataFrame, words: int = WORDS) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def shingle_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """From (node, text): a row (node, shingle, count) for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.slices(batches, "text", 1 << 20):
+            row, h, n = shingles(*_text.utf8(b.column(1)), words)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(n)], ["node", "shingle", "count"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingle long, count long")
+
+
+def linkable(members: DataFrame, texts: DataFrame, least: float, words: int = WORDS) -> DataFrame:
+    """members (bucket, node, label) with total and common, those that can't link in their bucket left out. common is the weight of
+    a text's shingles that some other member has too; the overlap of a pair is at most the lesser common, so a pair needs
+    common >= share * (total + other total), and a member alone needs it with the least total of its bucket. Exact: no link is lost."""
+    nodes = members.select("node").distinct()
+    rows = _shared.written(shingle_rows(texts.join(nodes, "node"), words), "shingles")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("count").alias("count")).where("n = 1").groupBy("node").agg(F.sum("count").alias("single"))
+    totals = rows.groupBy("node").agg(F.sum("count").alias("total")).join(single, "node", "left").select("node", "total", (F.col("total") - F.coalesce("single", F.lit(0))).alias("common"))
+    both = _shared.written(members.join(totals, "node"), "weighed")
+    smallest = both.groupBy("bucket").agg(F.min("total").alias("smallest"))
+    return both.join(smallest, "bucket").where(F.col("common") >= least / (1 + least) * (F.col("total") + F.col("smallest")) - 1e-6).select("bucket", "node", "label", "total", "common")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): the label is one node of its component. Each round sends every node to its
     least neighbour or itself, contracts the graph and composes the maps; all tables are written."""
@@ -189,18 +216,21 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
     while True:
         # leaders: the least node in each of `leaders` parts of a bucket, of other classes than the bucket's largest
         if turn:
-            sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
-            members = _shared.written(members.join(main, "bucket"), "members")
+            members = _shared.written(_of_many_classes(members), "members")
             if members.isEmpty():
                 break
+            if turn == 1:
+                members = _of_many_classes(_shared.written(linkable(members.drop("main"), text, least, words), "members"))
             part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-            heads = members.where("label <> main").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("head"))
-            members = members.select("bucket", "node", "label")
+            heads = members.where("label <> main").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "label", "total", "common")).alias("head"))
+            members = members.drop("main")
+            can = F.least("common", "head_common") >= least / (1 + least) * (F.col("total") + F.col("head_total")) - 1e-6
+            heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.total").alias("head_total"), F.col("head.common").alias("head_common"))
         else:
-            heads = members.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head"))
-        heads = _shared.written(heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label")), "heads")
-        met = members.join(heads, "bucket").where("label <> head_label")
+            can = F.lit(True)
+            heads = members.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head")).select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"))
+        heads = _shared.written(heads, "heads")
+        met = members.join(heads, (members["bucket"] == heads["bucket"]) & (F.col("label") != F.col("head_label")) & can)
         pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -212,12 +242,19 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
         if turn == 0 or not now.isEmpty():
             labels = components(links)
         # leaders have met all others of their bucket: they leave it
-        left = members.select("bucket", "node").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
-        members = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        left = members.drop("label").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
+        members = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         turn, leaders = turn + 1, leaders * 4
     return labels
 
 
+def _of_many_classes(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one class, with the label of the bucket's largest as main."""
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
+    return members.join(main, "bucket")
+
+
 def classes(docs: DataFrame, least: float = LEAST, words: int = WORDS, count: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, node (its text), label (its class) and class_id, the least id of the class."""
     known = _shared.written(signatures(docs, words, count, rows, id_col, text_col), "signatures")
