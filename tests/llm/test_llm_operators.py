@@ -1,0 +1,367 @@
+"""Each operator of quarryline.llm against a brute-force version or an exact round trip, and its edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from quarryline.llm import _text, bpe, curriculum, licenses, line_chunks, media_archive, near_dups, quality, registry, secrets_lex, url_vocab, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "word " * 60_000
+TEXTS = [None, "", "   ", "a", "a b c d", "x\n\nx\n", "é ü\u00a0ñ 中文 🙂", "tab\tand\x0bvt\x1cfs", "one two three four five six " * 9, LONG, "A" * 50_000, "a b c d"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, class_id long, `size` string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in all columns, empty and long texts, repeated rows, further columns with clashing names."""
+    rows = [(i, t, None, ["s", None][i % 2], None, None, None, "x") for i, t in enumerate(TEXTS)] + [(3, "a", None, None, None, None, None, "x")] * 2 + [(None, "n n", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\t\x1cé\u00a0", max_size=40)), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_words_and_hashes(texts):
+    data, offs = _text.utf8(pa.array(texts, pa.string()))
+    start, end, row = _text.words(data, offs)
+    raw = data.tobytes()
+    assert [(r, raw[s:e].decode()) for r, s, e in zip(row, start, end, strict=True)] == [(i, w) for i, t in enumerate(texts) for w in WORD.findall(t or "")]
+    h = _text.hashes(data, start, end)
+    assert len({raw[s:e] for s, e in zip(start, end, strict=True)}) == len(set(h.tolist()))
+
+
+def base_counts(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 5)}
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for x in lines:
+        dup += bool(WORD.search(x)) and x in seen
+        seen.add(x)
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(repeated)]
+
+
+def test_op1_counts(docs):
+    texts = [r.text for r in docs.select("text").collect()] + TEXTS
+    base, x = quality.statistics(pa.array(texts, pa.string()))
+    assert base.tolist() == [base_counts(t) for t in texts]
+    assert np.isfinite(x).all()
+
+
+def test_op1_trees_are_monotonic_and_accurate():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] + 0.3 * x[:, 1] + rng.normal(0, 0.1, 3000)) < 0.7).astype(float)
+    trees = quality.fit(x[:2000], y[:2000], signs=[-1, 0, 0])
+    assert ((trees.margin(x[2000:]) > 0) == y[2000:]).mean() > 0.9
+    line = np.repeat(rng.random((50, 3)), 40, 0)
+    line[:, 0] = np.tile(np.linspace(0, 1, 40), 50)
+    assert (np.diff(trees.margin(line).reshape(50, 40), axis=1) <= 1e-12).all()
+    assert quality.fit(x[:0], y[:0]).margin(x[:2]).tolist() == [0, 0]
+
+
+def test_op1_edges(spark, odd, none, data):
+    labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (8, None)], "doc_id long, quality int")
+    trees = quality.train(odd, labels)
+    rows = quality.quality_scores(odd, trees).collect()
+    assert len(rows) == odd.count() and not any(r.kept for r in rows if r.base_failed)
+    assert quality.quality_filter(odd, trees).columns == odd.columns
+    assert quality.quality_scores(none, quality.train(none, labels.limit(0))).count() == 0
+
+
+def components(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return [find(i) for i in range(n)]
+
+
+def shingle_bag(text):
+    w = (text or "").encode().split()
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def near_classes(rows):
+    """class_id of each row by comparing all pairs."""
+    bags = [shingle_bag(t) for _, t in rows]
+    links = []
+    for i in range(len(rows)):
+        for j in range(i):
+            o = sum((bags[i] & bags[j]).values())
+            if (rows[i][1] or "") == (rows[j][1] or "") or o and o >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - o):
+                links.append((i, j))
+    label = components(len(rows), links)
+    least = defaultdict(lambda: None)
+    for (d, _), k in zip(rows, label, strict=True):
+        least[k] = d if least[k] is None else least[k] if d is None else min(d, least[k])
+    return Counter((d, least[k]) for (d, _), k in zip(rows, label, strict=True))
+
+
+def test_op2_estimates_weighted_jaccard():
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        a, b = rng.integers(0, 20, 80), rng.integers(0, 20, 80)
+        h = _text.mix(np.arange(80, dtype=np.uint64) + np.uint64(99))
+        keep = np.concatenate([a > 0, b > 0])
+        s = near_dups.bag_min_hash(np.repeat([0, 1], 80)[keep], np.concatenate([h, h])[keep], np.concatenate([a, b])[keep], 2, 4096)
+        assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+
+
+def test_op2_equals_all_pairs(spark, docs):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(80).collect()]
+    base = [word() for _ in range(120)]
+    for i in range(90):  # a loose group: most differ from each other by more than a fifth
+        w = list(base)
+        for k in rng.choice(120, rng.integers(0, 9), replace=False):
+            w[k] = word()
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000, None), (2001, ""), (2002, "a b"), (2003, "a b"), (None, "a b"), (2002, "a b"), (2004, " a\tb")]
+    got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.id, r.class_id) for r in got) == near_classes(rows)
+
+
+def test_op2_edges(odd, none):
+    kept = near_dups.near_dedup(odd)
+    assert kept.columns == odd.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and 3 in ids and 11 not in ids
+    assert near_dups.classes(none).count() == 0 and near_dups.near_dedup(none).count() == 0
+
+
+def line_parts(text, how=line_chunks.Chunking()):
+    """(first line, text) of every chunk that counts, line by line."""
+    lines = text.split("\n")
+    raw = [x.encode() for x in lines]
+    ends = np.cumsum([len(x) + 1 for x in raw]) - 1
+    h = _text.hashes(np.frombuffer("\n".join(lines).encode(), np.uint8), ends - [len(x) for x in raw], ends)
+    out, begin = [], 0
+    for i in range(len(lines)):
+        rolled = np.zeros(1, np.uint64)
+        for k in range(how.window):
+            if i >= k:
+                rolled = rolled + _text.mix(h[i - k : i - k + 1] + np.uint64(k * 0x9E3779B9))
+        size = i - begin + 1
+        if i == len(lines) - 1 or int(_text.mix(rolled)[0]) % how.divisor == 0 and size >= how.least_lines or size >= how.most_lines:
+            part = lines[begin : i + 1]
+            if size > 1 and sum(len(WORD.findall(x)) for x in part) >= how.least_words and sum(bool(WORD.search(x)) for x in part) >= 2:
+                out.append((begin, i, "\n".join(part)))
+            begin = i + 1
+    return out
+
+
+def test_op3_equals_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    shared = "\n".join(f"a shared line number {i} with several words in it" for i in range(12))
+    rows += [(5000 + i, f"own line {i}\n" * i + shared + f"\nlast {i}") for i in range(6)]
+    seen = defaultdict(list)
+    for d, t in rows:
+        for begin, end, part in line_parts(t):
+            seen[part].append((d, begin, end))
+    gone = defaultdict(set)
+    for places in seen.values():
+        for d, begin, end in sorted(places)[1:]:
+            gone[d].update(range(begin, end + 1))
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and any(gone.values())
+    assert sum(got[5000 + i].count("shared") for i in range(6)) <= 12 + 5 * 3
+
+
+def test_op3_edges(odd, none):
+    out = line_chunks.dedup_lines(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert {r.text for r in out.where("doc_id = 0").collect()} == {None}
+    assert line_chunks.dedup_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_equals_sql(spark, data, duck, name):
+    from compare import same
+
+    same(registry.queries()[name](spark, data), duck.sql(registry.oracle_sql()[name]))
+
+
+def test_op4_cases(spark):
+    urls = [None, "", "no scheme", "HTTP://User@EXAMPLE.ORG:80/es/x?y#z", "http://a.example.org/en/12", "http://org", "x://org/", "https://y.com/DE/", "https://y.com/fr/porn", "https://y.net/adult-casino", "https://y.net/adulthood/casino", "https://y.net/my_viagra!", "https://cheap-pills.net", "a" * 100_000]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_vocab.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert got[3] == ("user@example.org:80", "/es/x", None, "allow")
+    assert got[4][2:] == ("example.org/en/1", "block") and got[5] == ("org", "", None, "allow") and got[6][2:] == ("org/", "allow")
+    assert got[7][2:] == (None, "allow") and got[8][2:] == ("com/fr/", "allow")
+    assert [got[i][3] for i in (9, 10, 11, 12)] == ["block", "allow", "block", "block"]
+
+
+def test_op5_shares_and_bounds(spark, data):
+    out = curriculum.op5_source_mix(spark, data).toPandas()
+    src = {r.doc_id: r.source for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    out["source"] = out.doc_id.map(src)
+    g = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), biggest=("size", "max"), size=("size", "sum"), own=("source_size", "first"))
+    assert (abs(g.taken - g.target) <= g.biggest).all() and (g["size"] == g.own).all() and (out.taken <= 2 * out["size"]).all()
+    assert g.target.sum() == pytest.approx(1.5 * g.own.sum())
+    assert ((out.position >= 0) & (out.position <= 1) | out.position.isna()).all()
+
+
+def test_op5_mix_is_sorted_and_whole(spark, odd, none):
+    plan = {r.doc_id: r.copies for r in curriculum.mix_plan(odd).groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()}
+    mix = curriculum.mixed(odd)
+    assert mix.columns == odd.columns
+    assert Counter(r.doc_id for r in mix.collect()) == Counter({k: v for k, v in plan.items() if v})
+    assert curriculum.mix_plan(none).count() == 0 and curriculum.mixed(none).count() == 0
+
+
+def test_op5_inverse(spark):
+    at = [i / 16 for i in range(17)]
+    for s in curriculum.SCHEDULES:
+        got = [r.t for r in spark.createDataFrame([(x,) for x in at], "x double").select("x", curriculum.inverse_demand(F.col("x"), s).alias("t")).orderBy("x").collect()]
+        grid = np.linspace(0, 1, 100_001)
+        w = np.interp(grid, [p[0] for p in s], [p[1] for p in s])
+        area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        assert np.allclose(got, np.interp(np.array(at) * area[-1], area, grid), atol=1e-4)
+
+
+def test_op6_round_trip(spark, odd):
+    folder = media_archive._shared.shared_dir(spark, "t")
+    manifest = folder + "-list"
+    media_archive.write_archives(odd, folder).write.parquet(manifest)
+    for options in ({"rangeBytes": "2000"}, {}):
+        got = media_archive.media_features(media_archive.read_members(spark, folder, manifest, **options)).collect()
+        want = Counter()
+        for r in odd.collect():
+            p = media_archive.padded((r.text or "").encode())
+            want[r.doc_id, len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+        assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert len({r.feature for r in got if r.n_bytes == 0}) == 1
+
+
+def test_op6_damage_is_found_and_retried(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string").coalesce(1)
+    media_archive.write_archives(df, f"file://{tmp_path}/a").collect()
+    path = next((tmp_path / "a").glob("*.zip"))
+    reader = media_archive.ArchiveReader({"path": f"file://{tmp_path}/a", "retries": "1"})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 5
+    raw = bytearray(path.read_bytes())
+    raw[60] ^= 255
+    path.write_bytes(raw)
+    with pytest.raises(OSError, match="offset 0"):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_op7_wordings():
+    t = tuple(licenses.TEMPLATES)
+    found = lambda x: [(b[2], x[b[0] : b[1]]) for b in licenses.licensed(x, t)]
+    for name, wording in licenses.TEMPLATES:
+        assert name in [n for n, _ in found(f"Some words.\n\n{wording}\n\nMore.")], wording
+    assert found("This work is licensed under the GNU General Public License, version 4.")[0][0] is None
+    assert found("Licensed under CC BY-NC 3.0.")[0][0] is None
+    assert [n for n, _ in found("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")] == ["MIT", "Apache-2.0"]
+    assert found("plain text") == [] and found("") == [] and licenses.licensed(None, t) == []
+
+
+def test_op7_edges(odd, none):
+    assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
+
+
+def base_spans(text):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+@given(st.lists(st.sampled_from(["token", "API_KEY", "apikey", "Password", "=", ": ", ' "', "'", "abc123", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "é", "ſecret", "\n", " ", "x", "pass", "wd"]), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_op8_base(parts):
+    text = "".join(parts)
+    base, spans = secrets_lex.scan(text)
+    assert base == base_spans(text) and set(base) <= set(spans)
+
+
+def test_op8_lexing():
+    text = 'k = "9f8a7Xb6c5d4QQ"\nlabel = k\nmy_password = k\nprivate_key := "Zz19" + "x8y7w6v5u4"\n{"dbPassword": "hunter2hunter2"}\ntitle = "hello world again"'
+    found = {text[s:e] for k, s, e in secrets_lex.scan(text)[1] if k == "literal"}
+    assert "9f8a7Xb6c5d4QQ" in found and "hello world again" not in found
+    assert secrets_lex.scan(None) == ([], []) and secrets_lex.weight("apiKeyId") == 3
+
+
+def test_op8_edges(odd, none):
+    assert secrets_lex.scan_secrets(odd).count() == odd.count() and secrets_lex.scan_secrets(none).count() == 0
+
+
+def test_op9_round_trip(spark):
+    big = "<p>é</p>" * 20_000
+    rows = [(5, None, None), (1, "u\r\nX: y", big), (7, "v", big), (1, "w", big), (None, "n", big), (2, "x", "short"), (3, "x", "short")]
+    folder = warc._shared.shared_dir(spark, "w")
+    made = warc._shared.written(warc.write_archives(warc.response_or_revisit(spark.createDataFrame(rows, "page_id long, url string, html string")), folder), "l")
+    got = warc.read_archives(made, folder, payloads=True).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter([(5, "response", None, 0), (1, "response", None, len(big.encode())), (1, "response", None, len(big.encode())), (7, "revisit", 1, len(big.encode())), (None, "revisit", 1, len(big.encode())), (2, "response", None, 5), (3, "response", None, 5)])
+    assert all(bytes(r.payload) == big.encode() for r in got if r.record_type == "response" and r.page_id == 1)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.response_or_revisit(none).count() == 0
+
+
+def test_op9_damage_is_found():
+    raw = bytearray(warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None))
+    assert warc.parse(raw)["payload"] == b"payload"
+    raw[-6] ^= 1
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse(raw)
+
+
+def test_op10_equals_the_library(spark, odd, none):
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    tokens, table = bpe._at_driver(path)
+    assert sorted(table.key.tolist()) == list(range(len(tokens)))
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    extra = ["'s 'S don't  \n\n x\x1cy \x85\u2003z", "१२३ Ⅷ² e\u0301", "<|endoftext|>", "\u0240\u0241ȿ"]
+    texts = [t for t in TEXTS if t is not None] + extra
+    encoder = bpe.Encoder(bpe.Vocabulary(tokens, table), pattern)
+    for t in texts:
+        ids = encoder.ids(encoder.numbers([t])[0])
+        assert ids.tolist() == lib.encode_ordinary(t), t[:50]
+        assert encoder.vocabulary.decode(ids).decode() == t
+    rows = bpe.round_trip(odd, path, pattern).collect()
+    assert len(rows) == odd.count() and all(r.decoded_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if r.n_tokens == 0)
+    assert bpe.encode(none, path, pattern).count() == 0
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns = docs.columns
+    for name, stage in c.STAGES:
+        out = c._shared.written(stage(spark, docs, data), name)
+        if name != "byte_bpe":
+            assert out.columns == columns
+        if name == "line_dedup":
+            assert out.count() == docs.count()
+        docs = out
+    assert docs.count() == c.run(spark, data).count() > 0
