@@ -188,17 +188,28 @@ def linkable(members: DataFrame, texts: DataFrame, least: float, words: int = WO
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node of the links (a, b): the label is one node of its component. Each round sends every node to its
-    least neighbour or itself, contracts the graph and composes the maps; all tables are written."""
-    edges = _shared.written(links.where("a <> b").select("a", "b").distinct(), "edges")
-    labels = _shared.written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")), "labels")
+    """(node, label) for every node of the links (a, b): the label is one node of its component. Each round sends every node to its
+    least neighbour's least neighbour, itself counted as one, and contracts the graph; the rounds' maps, all written, are composed
+    in the end."""
+    edges = _shared.written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        to = _shared.written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("p")), "parents")
-        labels = _shared.written(labels.join(to, F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+        one = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("p"))
+        to = _shared.written(one.join(one.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")), "parents")
+        labels = labels.join(to, F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label"))
         edges = edges.join(to.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(to.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         edges = _shared.written(edges.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    return labels
+    return _shared.written(labels, "labels")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only the classes that the links touch are contracted anew."""
+    known = labels.select(F.col("node"), F.col("label"))
+    by = links.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    more = components(by.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    moved = known.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return _shared.written(moved.union(more.join(known.select("node"), "node", "left_anti").select("node", "label")), "labels")
 
 
 def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +223,7 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
     text = own.join(wanted, (F.col("n") == F.col("node")) & F.col("d").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
     text = _shared.written(text, "candidate-texts")
     members = open_.select("bucket", "node").withColumn("label", F.col("node"))
-    links, checked, labels, leaders, turn = None, None, None, 1, 0
+    checked, labels, leaders, turn = None, None, 1, 0
     while True:
         # leaders: the text that shares most of itself in each of `leaders` parts of a bucket, of other classes than the bucket's
         # largest; in the first round, where that isn't known, the least node
@@ -239,9 +250,7 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
         found = _shared.written(similarities(with_texts, words), "similarities")
         checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
         now = found.where(F.col("similarity") >= least).select("a", "b")
-        links = now if links is None else links.union(now)
-        if turn == 0 or not now.isEmpty():
-            labels = components(links)
+        labels = components(now) if labels is None else joined_components(labels, now)
         # leaders have met all others of their bucket: they leave it
         left = members.drop("label").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
         members = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
