@@ -225,8 +225,8 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
     members = open_.select("bucket", "node").withColumn("label", F.col("node"))
     checked, labels, leaders, turn = None, None, 1, 0
     while True:
-        # leaders: the text that shares most of itself in each of `leaders` parts of a bucket, of other classes than the bucket's
-        # largest; in the first round, where that isn't known, the least node
+        # leaders: the text that shares most of itself in each of `leaders` parts of a bucket: of the whole bucket in the second round,
+        # then of other classes than its largest; in the first round, where that share isn't known, the least node
         if turn:
             members = _shared.written(_of_many_classes(members), "members")
             if members.isEmpty():
@@ -234,7 +234,7 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
             if turn == 1:
                 members = _of_many_classes(_shared.written(linkable(members.drop("main"), text, least, words), "members"))
             part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-            heads = members.where("label <> main").groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "label", "total", "common"), F.struct(F.col("common") / F.col("total"), "node")).alias("head"))
+            heads = (members if turn == 1 else members.where("label <> main")).groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "label", "total", "common"), F.struct(F.col("common") / F.col("total"), "node")).alias("head"))
             members = members.drop("main")
             can = F.least("common", "head_common") >= least / (1 + least) * (F.col("total") + F.col("head_total")) - 1e-6
             heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.total").alias("head_total"), F.col("head.common").alias("head_common"))
