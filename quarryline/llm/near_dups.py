@@ -174,12 +174,10 @@ def shingle_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, shingle long, count long")
 
 
-def linkable(members: DataFrame, texts: DataFrame, least: float, words: int = WORDS) -> DataFrame:
+def linkable(members: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """members (bucket, node, label) with total and common, those that can't link in their bucket left out. common is the weight of
     a text's shingles that some other member has too; the overlap of a pair is at most the lesser common, so a pair needs
     common >= share * (total + other total), and a member alone needs it with the least total of its bucket. Exact: no link is lost."""
-    nodes = members.select("node").distinct()
-    rows = _shared.written(shingle_rows(texts.join(nodes, "node"), words), "shingles")
     single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("count").alias("count")).where("n = 1").groupBy("node").agg(F.sum("count").alias("single"))
     totals = rows.groupBy("node").agg(F.sum("count").alias("total")).join(single, "node", "left").select("node", "total", (F.col("total") - F.coalesce("single", F.lit(0))).alias("common"))
     both = _shared.written(members.join(totals, "node"), "weighed")
@@ -187,6 +185,18 @@ def linkable(members: DataFrame, texts: DataFrame, least: float, words: int = WO
     return both.join(smallest, "bucket").where(F.col("common") >= least / (1 + least) * (F.col("total") + F.col("smallest")) - 1e-6).select("bucket", "node", "label", "total", "common")
 
 
+def shared_with(members: DataFrame, rows: DataFrame, label: bytes) -> DataFrame:
+    """members with inside, whether they are of the class `label` now, and in_main: the weight of a text's shingles that some text inside
+    has, for those inside their total. A pair of which one is inside needs in_main >= share * (total + other total) of the other.
+    Exact, as linkable is; inside doesn't change when classes grow later, so the bound holds on."""
+    inside = F.col("label") == F.lit(label)
+    nodes = members.select("node", inside.alias("inside")).distinct()
+    known = rows.join(nodes, "node")
+    main = known.where("inside").select("shingle").distinct()
+    weight = known.where("NOT inside").join(main, "shingle").groupBy("node").agg(F.sum("count").alias("weight"))
+    return members.join(weight, "node", "left").withColumns({"inside": inside, "in_main": F.when(inside, F.col("total")).otherwise(F.coalesce("weight", F.lit(0)))}).drop("weight")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the links (a, b): the label is one node of its component. Each round sends every node to its
     least neighbour's least neighbour, itself counted as one, and contracts the graph; the rounds' maps, all written, are composed
@@ -232,12 +242,19 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
             if members.isEmpty():
                 break
             if turn == 1:
-                members = _of_many_classes(_shared.written(linkable(members.drop("main"), text, least, words), "members"))
+                rows = _shared.written(shingle_rows(text.join(members.select("node").distinct(), "node"), words), "shingles")
+                members = _of_many_classes(_shared.written(linkable(members.drop("main"), rows, least), "members")).withColumns({"inside": F.lit(False), "in_main": F.col("total")})
+            elif turn == 2:
+                largest = members.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()["label"]
+                members = _shared.written(shared_with(members, rows, bytes(largest)), "members")
             part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-            heads = (members if turn == 1 else members.where("label <> main")).groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "label", "total", "common"), F.struct(F.col("common") / F.col("total"), "node")).alias("head"))
+            heads = (members if turn == 1 else members.where("label <> main")).groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "label", "total", "common", "inside", "in_main"), F.struct(F.col("common") / F.col("total"), "node")).alias("head"))
             members = members.drop("main")
-            can = F.least("common", "head_common") >= least / (1 + least) * (F.col("total") + F.col("head_total")) - 1e-6
-            heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.total").alias("head_total"), F.col("head.common").alias("head_common"))
+            # what both can share at most
+            across = F.col("inside") != F.col("head_inside")
+            most = F.least("common", "head_common", F.when(across, F.least("in_main", "head_in_main")))
+            can = most >= least / (1 + least) * (F.col("total") + F.col("head_total")) - 1e-6
+            heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.total").alias("head_total"), F.col("head.common").alias("head_common"), F.col("head.inside").alias("head_inside"), F.col("head.in_main").alias("head_in_main"))
         else:
             can = F.lit(True)
             heads = members.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head")).select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"))
