@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import classify, contacts as names, scoring, text, urls
-from quarryline.operators import dedup, relational
+from quarryline.operators import dedup, filings, relational
 from quarryline.plans.base import Queries
 from quarryline.plans.tables import case, table
 from quarryline.sources import adapters, html
@@ -155,6 +155,31 @@ def _(spark, d):
     return o.select("o_orderkey", names.valid_email(F.col("v")).alias("email"), names.email_domain(F.col("v")).alias("domain"), names.picked(F.col("v"), F.lit("fallback")).alias("picked"))
 
 
+@QUERIES("q_award_leads", "SELECT 'acme' || (c_custkey % 5) AS company_slug, 'Acme ' || (c_custkey % 5) || ' LLC' AS company_name, CASE WHEN c_custkey % 2 = 0 THEN 'acme.com' WHEN r = 'hr' AND c_custkey % 3 = 0 THEN 'mail.acme.io' END AS domain, CASE WHEN r = 'hr' THEN NULL ELSE c_name END AS full_name, CASE WHEN r = 'hr' THEN 'Company Contact' ELSE 'Principal Investigator' END AS title, CASE WHEN r = 'hr' THEN 'p' || c_custkey || '@mail.acme.io' END AS email, r AS role_hint FROM customer, (VALUES ('hr'), ('hiring_manager')) v(r) WHERE CASE WHEN r = 'hr' THEN c_custkey % 3 = 0 ELSE c_custkey % 4 = 0 END")
+def _(spark, d):
+    c = table(spark, d, "customer").selectExpr(
+        "'Acme ' || cast(c_custkey % 5 AS string) || ' LLC' AS firm", "CASE WHEN c_custkey % 2 = 0 THEN 'https://www.acme.com:8080/x' ELSE 'n/a' END AS company_url", "'-' AS poc_name", "'none' AS poc_title", "CASE WHEN c_custkey % 3 = 0 THEN 'P' || cast(c_custkey AS string) || '@mail.acme.io' ELSE 'bad' END AS poc_email",
+        "CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'NaN' END AS pi_name", "cast(null AS string) AS pi_title", "cast(null AS string) AS pi_email",
+    )
+    return filings.award_leads(c)
+
+
+@QUERIES("q_logged_hosts", "SELECT DISTINCT h || '.example.org' AS host FROM (SELECT 's' || (s_suppkey % 30) AS h FROM supplier UNION ALL SELECT 't' || (s_suppkey % 20) FROM supplier)")
+def _(spark, d):
+    names = table(spark, d, "supplier").selectExpr(r"'*.S' || cast(s_suppkey % 30 AS string) || '.example.org\nt' || cast(s_suppkey % 20 AS string) || '.Example.org\nexample.org\nother.net' AS v")
+    return filings.logged_hosts(names, "v", "example.org")
+
+
+_REPLIES = ['{"a": 1} then {"verdict": "ok"}', "none", '{bad', 'x {"verdict": "spam", "n": {"k": "}"}}']
+_VERDICTS = ["ok", "", "", "spam"]
+
+
+@QUERIES("q_reply_json", f"SELECT conv_id, turn, nullif({case('turn', _VERDICTS)}, '') AS verdict FROM conversations")
+def _(spark, d):
+    c = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{case('turn', _REPLIES)} AS reply")
+    return c.select("conv_id", "turn", F.get_json_object(html.last_json_object("reply"), "$.verdict").alias("verdict"))
+
+
 _DENY = ["acme.com", "www.github.com", "jobs.lever.co", "greenhouse.io", "", "my.x.com", "ax.com"]
 
 
