@@ -260,17 +260,15 @@ def _at_driver(path: str) -> tuple[list[bytes], PerfectHash]:
     return tokens, PerfectHash(tokens)
 
 
-_held: dict[int, Encoder] = {}
+_held: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """The worker's encoder for a broadcast vocabulary; it serves all tasks of that worker."""
-    key = id(shared)
-    if key not in _held:
+def _encoder(shared, name: str, pattern: str) -> Encoder:
+    """The worker's encoder for a broadcast vocabulary, by the digest of its tokens and the pattern; it serves all tasks of that worker."""
+    if (name, pattern) not in _held:
         _held.clear()
-        tokens, table = shared.value
-        _held[key] = Encoder(Vocabulary(tokens, table), pattern)
-    return _held[key]
+        _held[name, pattern] = Encoder(Vocabulary(*shared.value), pattern)
+    return _held[name, pattern]
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,11 +312,13 @@ def _as_digests(encoder: Encoder, texts: list[str | None]) -> list[pa.Array]:
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, make) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_at_driver(path))
+    tokens, table = _at_driver(path)
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, table))
+    name = hashlib.sha256(b"\n".join(base64.b64encode(t) for t in tokens)).hexdigest()
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(shared, name, pattern)
         for b in _text.slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), *make(encoder, b.column(1).to_pylist())], [id_col, *names])
 
