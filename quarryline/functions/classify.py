@@ -16,6 +16,7 @@ LEVEL_TAGS = [
     ("masters", r"\bmaster'?s?\b|\bmsc\b|\bm\.?s\.?\b"), ("undergrad", r"\bundergrad(?:uate)?\b|\bbachelor'?s?\b|\bbsc\b"), ("entry-level", r"\bentry[\s\-]?level\b"),
     ("paid", r"\bpaid\b"), ("part-time", r"\bpart[\s\-]?time\b"), ("full-time", r"\bfull[\s\-]?time\b"), ("remote", r"\bremote\b"),
 ]
+#: Words of early-career titles and texts, of seniority, of founding roles.
 INTERNSHIP = r"\bintern(?:ship)?\b|\bco[\s\-]?op\b|\bsummer\s+analyst\b|\bapprentice(?:ship)?\b|\bnew\s*grad(?:uate)?\b|\bearly[\s\-]?career\b|\bcampus\b|\brotational\b|\buniversity\s+(?:program|graduate|hire|recruit)|\bplacement\b|\bworking\s+student\b|\bgraduate\s+(?:program|scheme|trainee)\b"
 STRONG_TITLE = r"\bintern(?:ship)?\b|\bco[\s\-]?op\b|\bsummer\s+analyst\b|\bapprentice(?:ship)?\b|\bworking\s+student\b"
 STRONG_TEXT = r"\bsummer\s+intern(?:ship)?\b|\bintern(?:ship)?\s+program\b|\bintern(?:ship)?\s+(?:position|role|opportunity)\b|\bco[\s\-]?op\s+program\b|\bis\s+an?\s+intern(?:ship)?\b"
