@@ -249,17 +249,20 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
                 members = _shared.written(shared_with(members, rows, bytes(largest)), "members")
             part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
             heads = (members if turn == 1 else members.where("label <> main")).groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "label", "total", "common", "inside", "in_main"), F.struct(F.col("common") / F.col("total"), "node")).alias("head"))
-            members = members.drop("main")
+            # a pair that meets in several buckets is made in the least of them that it has this round; a text has as many as bands at most
+            members = members.drop("main").join(members.groupBy("node").agg(F.collect_set("bucket").alias("own")), "node")
             # what both can share at most
             across = F.col("inside") != F.col("head_inside")
             most = F.least("common", "head_common", F.when(across, F.least("in_main", "head_in_main")))
             can = most >= least / (1 + least) * (F.col("total") + F.col("head_total")) - 1e-6
             heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.total").alias("head_total"), F.col("head.common").alias("head_common"), F.col("head.inside").alias("head_inside"), F.col("head.in_main").alias("head_in_main"))
+            heads = heads.join(heads.groupBy("head").agg(F.collect_set("bucket").alias("head_own")), "head")
+            can = can & (F.col("head_bucket") == F.array_min(F.array_intersect("own", "head_own")))
         else:
             can = F.lit(True)
             heads = members.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head")).select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"))
         heads = _shared.written(heads, "heads")
-        met = members.join(heads, (members["bucket"] == heads["bucket"]) & (F.col("label") != F.col("head_label")) & can)
+        met = members.join(heads.withColumnRenamed("bucket", "head_bucket"), (members["bucket"] == F.col("head_bucket")) & (F.col("label") != F.col("head_label")) & can)
         pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -269,7 +272,7 @@ def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int =
         now = found.where(F.col("similarity") >= least).select("a", "b")
         labels = components(now) if labels is None else joined_components(labels, now)
         # leaders have met all others of their bucket: they leave it
-        left = members.drop("label").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
+        left = members.drop("label", "own").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
         members = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         turn, leaders = turn + 1, leaders * 4
     return labels
