@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parq
 one's docs. All but the last return the columns of documents:
 
 quality_rules   drops the documents that the rules or the trees reject; labels come from sf_dir
-line_dedup      removes repeated chunks of lines from the texts; every row stays
+line_dedup      removes repeated runs of lines from the texts; every row stays
 near_dedup      keeps one document of each class of near copies; texts left empty by line dedup are equal, so of one class
 source_mix      returns the mix in training order: a row for each copy taken, so a document comes up to twice or not at all
 byte_bpe        returns doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes for every row of the mix
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(docs)
+    return line_chunks.dedup_lines(docs, line_chunks.Runs())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,6 +193,38 @@ def test_op3_equals_brute_force(spark, docs):
     assert sum(got[5000 + i].count("shared") for i in range(6)) <= 12 + 60 // 2  # chunks that a boundary shares with other lines stay
 
 
+def repeats_removed(rows, least=10, alone=50):
+    """Each text without the lines that lie in a run seen before, by comparing all runs of lines."""
+    seen, gone, texts = {}, defaultdict(set), {d: t.split("\n") for d, t in rows}
+    for d in sorted(texts):
+        lines = texts[d]
+        n = [len(WORD.findall(x)) for x in lines]
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if n[i] and n[j] and (sum(n[i : j + 1]) >= least and j > i or n[i] >= alone and i == j):
+                    first = seen.setdefault(tuple(lines[i : j + 1]), (d, i))
+                    if first[0] != d or first[1] + j - i < i:
+                        gone[d].update(range(i, j + 1))
+    return {d: "\n".join(x for i, x in enumerate(v) if i not in gone[d]) for d, v in texts.items()}
+
+
+def test_op3_runs_equal_brute_force_and_find_planted(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    planted = [[words(18) for _ in range(2 + i % 3)] for i in range(40)] + [[words(60)] for _ in range(10)] + [[words(5), "", words(2), words(1), words(6)] for _ in range(10)]
+    rows = []
+    for i, p in enumerate(planted * 2):
+        rows.append((i, "\n".join([words(int(rng.integers(0, 12))) for _ in range(rng.integers(0, 4))] + p + [words(int(rng.integers(0, 12))) for _ in range(rng.integers(0, 4))])))
+    rows += [(900, "same line of a few words\n" * 9), (901, "own\n" + "\n".join(planted[0]) + "\n"), (902, "\n".join(planted[0][:2] + planted[1])), (903, ""), (904, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(df, line_chunks.Runs()).collect()}
+    assert got == repeats_removed(rows)
+    half = len(planted)
+    assert not any(x in got[half + i].split("\n") for i, p in enumerate(planted) for x in p if x)
+    report = {r.doc_id: (r.n_removed_lines, r.n_kept_bytes) for r in line_chunks.line_report(df, line_chunks.Runs()).collect()}
+    assert all(report[d][1] == len(got[d]) and (not got[d] or report[d][0] == t.count("\n") - got[d].count("\n")) for d, t in rows)
+
+
 def test_op3_edges(odd, none):
     out = line_chunks.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
