@@ -29,11 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a shorter run can't hold a longer o
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts of names and their weight; a name scores the greatest weight of its parts.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "private": 2, "bearer": 2, "signature": 1, "auth": 1, "key": 1, "salt": 1, "cert": 1}
+#: Names, literals and tag bodies may have any length. Nothing after a possessive part could take back what it holds, so the scan stays linear.
 _STATEMENT = re.compile(
-    r"""(?P<quote>["']?)(?P<name>(?<![\w$.-])[A-Za-z_$][\w$.-]{0,79})(?P=quote)[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*(?P<value>(?:"(?:[^"\\\n]|\\.){0,4000}"|'(?:[^'\\\n]|\\.){0,4000}'|[^\s"'<>{}()\[\],;]+)(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.){0,4000}"|'(?:[^'\\\n]|\\.){0,4000}'|[A-Za-z_$][\w$.]*))*)"""
-    r"""|<(?P<tag>[A-Za-z_][\w.-]{0,79})>(?P<body>[^<>\n]{1,4000})</(?P=tag)>"""
+    r"""(?P<quote>["']?)(?P<name>(?<![\w$.-])[A-Za-z_$][\w$.-]*+)(?P=quote)[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*(?P<value>(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[^\s"'<>{}()\[\],;]+)(?:[\x20\t]*\+[\x20\t]*(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z_$][\w$.]*))*)"""
+    r"""|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\n]++)</(?P=tag)>"""
 )
-_OPERAND = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'+]+(?:\+[^\s"'+]+)*)""")
+_OPERAND = re.compile(r""""([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([^\s"'+]+(?:\+[^\s"'+]+)*)""")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _WANTED = [*SENSITIVE]

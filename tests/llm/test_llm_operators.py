@@ -341,6 +341,14 @@ def test_op8_lexing():
     assert secrets_lex.scan(None) == ([], []) and secrets_lex.weight("apiKeyId") == 3
 
 
+@pytest.mark.parametrize("n", [3_900, 4_001, 200_000])
+def test_op8_literals_and_names_of_any_length(n):
+    long = ("Ab3+/xQ9" * (n // 8 + 1))[:n]
+    for text in (f'private_key = "{long}"', f"private_key = '{long}'", f"<privateKey>{long}</privateKey>", f'k = "{long}"\nprivate_key = k', f'{"a" * n}_private_key = "{long}"', f'private_key = "x" + "{long}"'):
+        assert ("literal", text.index(long), text.index(long) + n) in secrets_lex.scan(text)[1], text[:40]
+    assert secrets_lex.lexed(f'a = "{chr(92)}{chr(34)}{long}"')[0][1][0][2] == chr(92) + chr(34) + long
+
+
 def test_op8_edges(odd, none):
     assert secrets_lex.scan_secrets(odd).count() == odd.count() and secrets_lex.scan_secrets(none).count() == 0
 
