@@ -315,6 +315,39 @@ def test_op7_wordings():
     assert found("plain text") == [] and found("") == [] and licenses.licensed(None, t) == []
 
 
+OWN = "many quiet rivers bend slowly past old stone mills where people gather every autumn to trade apples honey wool and stories".split()
+
+
+@pytest.mark.parametrize("before", [0, 5, 10, 40, 130])
+def test_op7_notices_within_lines(before):
+    t = tuple(licenses.TEMPLATES)
+    own = " ".join((OWN * 9)[:before])
+    for name, wording in licenses.TEMPLATES:
+        text = f"{own} {wording} {own}"
+        assert [(b[2], text[b[0] : b[1]], b[4:]) for b in licenses.licensed(text, t)] == [(name, wording, (0, 0))], wording
+    three = f"{own} Released under the MIT License. {own} Licensed under CC BY 4.0. {own} Released under the MIT License. {own} Licensed under CC BY-NC 3.0."
+    assert [b[2] for b in licenses.licensed(three, t)] == ["MIT", "CC-BY-4.0", "MIT", None]
+
+
+def test_op7_alignment_is_the_cheapest():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        template, block = (["abc1"[k] for k in rng.integers(0, 4, n)] for n in (4, 6))
+        fixed = lambda words: any(w == "1" for w in words)
+        best = 99
+        for i in range(7):
+            for j in range(i, 7):
+                for keep in range(16):  # template words kept, in order, within block[i:j]
+                    for have in range(1 << (j - i)):
+                        x, y = [w for k, w in enumerate(template) if keep >> k & 1], [w for k, w in enumerate(block[i:j]) if have >> k & 1]
+                        if x == y:
+                            gone, more = [w for k, w in enumerate(template) if not keep >> k & 1], [w for k, w in enumerate(block[i:j]) if not have >> k & 1]
+                            if not fixed(gone + more):
+                                best = min(best, len(gone) + len(more))
+        got = licenses.wording(block, template, 3)
+        assert (got[2] + got[3] if got else None) == (best if best <= 3 else None)
+
+
 def test_op7_edges(odd, none):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
 
