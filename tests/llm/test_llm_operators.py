@@ -329,6 +329,22 @@ def test_op7_notices_within_lines(before):
     assert [b[2] for b in licenses.licensed(three, t)] == ["MIT", "CC-BY-4.0", "MIT", None]
 
 
+@pytest.mark.parametrize("width", [12, 30, 80])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_op7_wrapped_notices(width, mark):
+    import textwrap
+
+    t = tuple(licenses.TEMPLATES)
+    for name, wording in licenses.TEMPLATES:
+        text = "\n".join(mark + x for x in ["own words before", *textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False), "own words after"])
+        found = [b for b in licenses.licensed(text, t) if b[2]]
+        assert [b[2] for b in found] == [name] and found[0][4:] == (0, 0), text
+        assert WORD.findall(text[found[0][0] : found[0][1]].replace(mark.strip() or "\n", " ")) == wording.split() or mark == "// "
+    long = " ".join(OWN * 9) + ". All rights reserved. No part of this work may be reproduced without written permission. " + " ".join(OWN)
+    assert [b[2] for b in licenses.licensed(long, t)] == ["Proprietary"]
+    assert [(b[2], b[0]) for b in licenses.licensed("Text. All rights reserved.", t)] == [("Proprietary", 6)]
+
+
 def test_op7_alignment_is_the_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(60):
