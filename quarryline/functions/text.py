@@ -94,8 +94,9 @@ def posting_uid(ats: Column, token: Column, source_id: Column, url: Column) -> C
     return F.sha1(F.concat_ws("|", ats, token, F.coalesce(source_id, F.lit("")), strip(url)))
 
 
-def content_fingerprint(title: Column, text: Column) -> Column:
-    return F.sha1(F.concat(title, F.lit("\n"), F.substring(text, 1, 2000)))
+def content_fingerprint(title: Column, text: Column, most: int | None = 2000) -> Column:
+    """SHA-1 of title and text; of the text `most` characters (the reference's rule), or all of it."""
+    return F.sha1(F.concat(title, F.lit("\n"), F.substring(text, 1, most) if most else text))
 
 
 def csv_safe(c: Column) -> Column:

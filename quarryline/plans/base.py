@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.plans.tables import bound
+from quarryline.plans.tables import CUT, bound
 
 
 class Queries:
@@ -15,3 +15,9 @@ class Queries:
             return f
 
         return put
+
+    def whole(self, name: str, cut: str = "", kept: str = ""):
+        """Registers name_whole: the same query, and the same SQL, on the whole texts of whole_jobs. Its function takes the table's name as
+        own; a further cut in its SQL is replaced by what is kept."""
+        f, sql = self.all[name]
+        self.all[f"{name}_whole"] = (lambda spark, d: f(spark, d, own="whole_jobs"), sql.replace(CUT, "text").replace(cut or CUT, kept))

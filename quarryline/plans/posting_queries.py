@@ -17,12 +17,13 @@ _HIT = ["job_uid", "title", "company", "fit", "posted"]
 
 def _search(name: str, where: str, order: str, **options):
     @QUERIES(name, f"WITH {_FIT} SELECT job_uid, title, company, fit, posted FROM jobs LEFT JOIN fits USING (job_uid) WHERE {where} ORDER BY {order}, job_uid LIMIT {options.get('limit', 25)}")
-    def run(spark, d):
-        return relational.search(table(spark, d, "jobs"), table(spark, d, "scores"), **options).select(*_HIT)
+    def run(spark, d, own="jobs"):
+        return relational.search(table(spark, d, own), table(spark, d, "scores"), **options).select(*_HIT)
 
 
 _search("q_search_jobs_fit", "is_internship", "fit DESC NULLS LAST")
 _search("q_search_jobs_text", "is_internship AND (title ILIKE '%intern%' OR description_text ILIKE '%intern%') AND NOT is_remote", "posted DESC NULLS LAST", query="intern", remote=False, sort="recent", limit=100)
+QUERIES.whole("q_search_jobs_text")
 _search("q_search_jobs_place", "(location_normalized ILIKE '%berlin%' OR location_raw ILIKE '%berlin%') AND ats = 'listing'", "discovery_score DESC NULLS LAST", location="berlin", ats=" Listing ", internships_only=False, sort="discovery", limit=50)
 _search("q_search_jobs_deadline", "is_internship AND deadline IS NOT NULL AND (company ILIKE '%ny 1%' OR company_slug ILIKE '%ny 1%')", "deadline ASC", company="ny 1", sort="deadline")
 _search("q_search_jobs_min_fit", "is_internship AND fit >= 60", "fit DESC NULLS LAST", min_fit=60.0, limit=100)
@@ -142,12 +143,14 @@ _FLAGS = [
 
 
 @QUERIES("q_quality_flags", "WITH q AS (SELECT *, ats IN ('listing','remotive','jobicy','arbeitnow','themuse','hackernews') AS low, " + _DAYS + " AS days FROM jobs), f AS (SELECT *, " + ", ".join(f"({c}) AS {n}" for n, c, _ in _FLAGS) + " FROM q) SELECT job_uid, round(greatest(0, least(100, 100.0 - " + " - ".join(f"CASE WHEN {n} THEN {c} ELSE 0 END" for n, _, c in _FLAGS) + ")), 6)::double AS score, concat_ws(',', " + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n, _, _ in _FLAGS) + ") AS flags, CASE WHEN mlm_scam OR (agency AND content_free) THEN 'suspect' WHEN " + " OR ".join(n for n, _, _ in _FLAGS[:-1]) + " THEN 'unclear' ELSE 'ok' END AS hint FROM f")
-def _(spark, d):
+def _(spark, d, own="jobs"):
     days = classify.days_open(_TS("posted"), _TS("first_seen"), _TS("last_seen"), F.timestamp_seconds(F.lit(NOW)))
-    q = table(spark, d, "jobs").withColumn("q", classify.quality(F.col("title"), F.col("description_text"), F.col("ats"), days, text.is_rolling(F.col("description_text"))))
+    q = table(spark, d, own).withColumn("q", classify.quality(F.col("title"), F.col("description_text"), F.col("ats"), days, text.is_rolling(F.col("description_text"))))
     return q.select("job_uid", F.round("q.score", 6).alias("score"), F.array_join("q.flags", ",").alias("flags"), F.col("q.hint").alias("hint"))
 
 
+QUERIES.whole("q_quality_flags")
+
 TARGETS = targets.Targets([("Firm One", "company-1-inc", ["company1.com"], "high"), ("Firm Two", "company-22", ["jobs.company22.com", "company23.com"], "low")], ["intern", "engineer"], ["senior", "staff"], ["berlin", "austin"])
 _DOMAIN = "regexp_replace(company_domain, '^www\\.', '')"
 _FIRM = f"CASE WHEN {_DOMAIN} = 'company1.com' OR ends_with({_DOMAIN}, '.company1.com') OR company_slug = 'company-1-inc' THEN 'Firm One' WHEN {_DOMAIN} IN ('jobs.company22.com', 'company23.com') OR company_slug IN ('company-22', 'company-22-inc') THEN 'Firm Two' END"
