@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarryline.functions import scoring
 from quarryline.operators import graph
@@ -80,13 +80,32 @@ def semantic_groups(vectors: DataFrame, block: str, key: str, vector: str, least
     return graph.components(similar_pairs(vectors, block, key, vector, least).select("a", "b"))
 
 
-def nearest_seed(candidates: DataFrame, seeds: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """The n candidates closest to any seed: (key, similarity). Seeds are a short list: above `most` rows this raises."""
-    most = 10_000
-    if seeds.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} seeds")
-    s = F.broadcast(seeds.select(F.col(vector).alias("seed")))
-    return candidates.join(s, how="cross").groupBy(key).agg(F.max(scoring.cosine(F.col(vector), F.col("seed"))).alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+def nearest_seed(candidates: DataFrame, seeds: DataFrame, key: str, vector: str, n: int, block: int = 10_000) -> DataFrame:
+    """The n candidates closest to any seed: (key, similarity). Any number of seeds: `block` of them at a time are sent to all workers,
+    and each candidate keeps the best of all blocks."""
+    count = seeds.count()
+    parts = -(-count // block) or 1
+    dealt = seeds.select(F.col(vector).alias("seed"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    best = None
+    for i in range(parts):
+        s = F.broadcast(dealt.where(F.col("part") == i).select("seed"))
+        own = candidates.join(s, how="cross").groupBy(key).agg(F.max(scoring.cosine(F.col(vector), F.col("seed"))).alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+        best = own if best is None else best.unionAll(own)
+    return best.groupBy(key).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 10_000) -> DataFrame:
+    """(query, key, similarity, place): for each query the k most similar of all rows but itself, ties by key. Any number of queries:
+    `block` of them at a time are sent to all workers."""
+    parts = -(-queries.count() // block) or 1
+    dealt = queries.select(F.col(key).alias("query"), F.col(vector).alias("seed"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    pairs = None
+    for i in range(parts):
+        q = F.broadcast(dealt.where(F.col("part") == i).select("query", "seed"))
+        own = rows.join(q, F.col(key) != F.col("query")).select("query", key, scoring.cosine(F.col(vector), F.col("seed")).alias("similarity"))
+        pairs = own if pairs is None else pairs.unionAll(own)
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def merge_people(people: DataFrame) -> DataFrame:

@@ -207,6 +207,12 @@ def _(spark, d):
     return dedup.nearest_seed(e.where("vec_id >= 20"), e.where("vec_id < 20"), "vec_id", "embedding", 50).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@QUERIES("q_cosine_topk", f"SELECT query, vec_id, round(c, 6) AS similarity, place::int AS place FROM (SELECT a.vec_id AS query, b.vec_id, {_COS} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE place <= 10")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return dedup.cosine_topk(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10).select("query", "vec_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
 @QUERIES("q_top_per_supplier", "SELECT l_suppkey, l_orderkey, l_linenumber, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 3")
 def _(spark, d):
     own = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_discount")

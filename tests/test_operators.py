@@ -73,3 +73,26 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 
     plan = registry.queries()["q_postings_at_scale"](spark, data)._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_vector_search_takes_seeds_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 4))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    similar = unit @ unit.T
+    got = [(r.id, round(r.similarity, 9)) for r in dedup.nearest_seed(df.where("id >= 25"), df.where("id < 25"), "id", "v", 8, block=10).collect()]
+    best = similar[25:, :25].max(1)
+    assert got == [(int(i) + 25, round(float(best[i]), 9)) for i in np.argsort(-best)[:8]]
+    np.fill_diagonal(similar, -2)
+    top = {(r.query, r.place): r.id for r in dedup.cosine_topk(df.where("id % 5 = 0"), df, "id", "v", 3, block=5).collect()}
+    assert top == {(q, n + 1): int(i) for q in range(0, 60, 5) for n, i in enumerate(np.argsort(-similar[q])[:3])}
+
+
+def test_more_seeds_than_a_block(spark):
+    seeds = spark.range(10_001).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    rows = spark.createDataFrame([(-1, [1.0, 10_000.0]), (-2, [1.0, -5.0])], "id long, v array<double>")
+    got = dedup.nearest_seed(rows, seeds, "id", "v", 1).collect()
+    assert [r.id for r in got] == [-1] and round(got[0].similarity, 9) == 1
