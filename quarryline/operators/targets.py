@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,6 +45,20 @@ def target_firm(company: Column, slug: Column, domain: Column, targets: Targets)
     return F.coalesce(*out) if out else F.lit(None).cast("struct<name:string,priority:string>")
 
 
+def connection(company: Column, slug: Column, domain: Column, connections: list[tuple[str, list[str], list[str]]]) -> Column:
+    """Name of the first connection (name, firms, domains), in the order given, whose domains or canonical firm names cover the company; null: none."""
+    names = [text.canonical_company(company), text.canonical_company(slug)]
+    out = []
+    for name, firms, domains in connections:
+        slugs = [re.sub("[^a-z0-9]+", "-", f.lower()).strip("-").split("-") for f in firms]
+        keys = {"".join(w for w in x if w not in text.CORPORATE_WORDS) for x in slugs} - {""}
+        fits = domain_of(domain, [d.lower().removeprefix("www.") for d in domains if d])
+        for own in names:
+            fits = fits | own.isin(*sorted(keys)) if keys else fits
+        out.append(F.when(fits, F.lit(name)))
+    return F.coalesce(*out) if out else F.lit(None).cast("string")
+
+
 def location_ok(remote: Column, normalized: Column, raw: Column, targets: Targets) -> Column:
     if not targets.locations:
         return F.lit(True)

@@ -162,6 +162,14 @@ def _(spark, d):
     return targets.evaluated(table(spark, d, "jobs"), TARGETS).select("job_uid", "match.matched", "match.firm", "match.reason")
 
 
+CONNECTIONS = [("Ann", ["Company 3, LLC", "Company 4"], []), ("Bob", ["Company 4 Inc."], ["company5.com"]), ("Cid", [], ["www.company6.com"])]
+
+
+@QUERIES("q_connection_match", f"SELECT job_uid, CASE WHEN company_slug IN ('company-3-inc', 'company-4-inc') THEN 'Ann' WHEN {_DOMAIN} = 'company5.com' THEN 'Bob' WHEN {_DOMAIN} = 'company6.com' THEN 'Cid' END AS connection FROM jobs")
+def _(spark, d):
+    return table(spark, d, "jobs").select("job_uid", targets.connection(F.col("company"), F.col("company_slug"), F.col("company_domain"), CONNECTIONS).alias("connection"))
+
+
 _ALERT = f"{_EVAL}, a AS (SELECT *, CASE firm WHEN 'Firm One' THEN 0 WHEN 'Firm Two' THEN 1 ELSE 2 END AS bucket FROM m WHERE notified_at IS NULL AND first_seen >= {NOW - 60 * 86400} AND NOT coalesce(quality_verdict IN ('spam','ghost','agency','mlm') AND quality_confidence >= 70, false) AND (matched OR (coalesce(reason NOT LIKE 'excluded:%' AND reason <> 'location', true) AND is_internship AND discovery_score >= 0.7)))"
 
 

@@ -2,7 +2,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from quarryline.operators import dedup, graph, merge, relational
+from quarryline.operators import dedup, graph, merge, relational, targets
 from quarryline.plans.tables import table
 from quarryline.streaming import sightings
 
@@ -96,3 +96,12 @@ def test_more_seeds_than_a_block(spark):
     rows = spark.createDataFrame([(-1, [1.0, 10_000.0]), (-2, [1.0, -5.0])], "id long, v array<double>")
     got = dedup.nearest_seed(rows, seeds, "id", "v", 1).collect()
     assert [r.id for r in got] == [-1] and round(got[0].similarity, 9) == 1
+
+
+def test_connection(spark):
+    known = [("Ann", ["Foo Bar LLC"], []), ("Bob", ["", "Inc"], ["www.Zed.com"]), ("Cid", ["foobar", "qux"], ["zed.com"])]
+    rows = [("Foo-Bar, Inc.", None, None, "Ann"), (None, "foo-bar-inc", None, "Ann"), ("Other", None, "WWW.zed.com", "Bob"), ("x", "", "jobs.zed.com", "Bob"), ("Qux", "", "", "Cid"), ("Inc", "inc", "notzed.com", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "company string, slug string, domain string, want string")
+    got = df.select("want", targets.connection(F.col("company"), F.col("slug"), F.col("domain"), known).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert df.select(targets.connection(F.col("company"), F.col("slug"), F.col("domain"), []).alias("c")).where("c IS NOT NULL").count() == 0
