@@ -146,6 +146,23 @@ def test_op2_equals_all_pairs(spark, docs):
     assert Counter((r.id, r.class_id) for r in got) == near_classes(rows)
 
 
+def test_op2_equals_all_pairs_of_several_loose_groups(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for g in range(3):  # copies of copies, so classes form over several rounds
+        base = [word() for _ in range(100 + 20 * g)]
+        kept = [base]
+        for i in range(110):
+            w = list(kept[rng.integers(0, len(kept))])
+            for k in rng.choice(len(w), rng.integers(0, 7), replace=False):
+                w[k] = word()
+            kept.append(w if i % 5 == 0 else base)
+            rows.append((1000 * g + i, " ".join(w)))
+    got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.id, r.class_id) for r in got) == near_classes(rows)
+
+
 def test_op2_edges(odd, none):
     kept = near_dups.near_dedup(odd)
     assert kept.columns == odd.columns
@@ -249,6 +266,23 @@ def test_op4_cases(spark):
     assert [got[i][3] for i in (9, 10, 11, 12)] == ["block", "allow", "block", "block"]
 
 
+def test_op4_escapes_plurals_weights_and_edges(spark, none):
+    urls = ["https://y.net/p%6Frn", "https://y.net/online-casinos/best-loans", "https://y.net/%70%4Frn", "https://y.net/p%256Frn", "https://y.net/free-win", "https://y.net/free-win-prize-cash", "https://y.net/adult/adult", "http://" + "a." * 40_000 + "example.org/es/"]
+    pages = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, html string, host string, verdict string")
+    got = {r.page_id: r for r in url_vocab.judge_urls(pages).collect()}
+    assert [got[i].verdict for i in range(8)] == ["block", "block", "block", "allow", "allow", "block", "allow", "block"] and got[7].rule == "example.org/es/"
+    own = {r.page_id: r.verdict for r in url_vocab.judge_urls(pages, vocabulary=[("FREE", 5.0)], limit=5.0).collect()}
+    assert own[4] == own[5] == "block" and own[0] == "allow"
+    assert url_vocab.judge_urls(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="most_terms"):
+        url_vocab.judge_urls(pages, most_terms=10)
+
+
+def test_op4_vocabulary_file(tmp_path):
+    (tmp_path / "terms.tsv").write_text("porn\t2\n# none\nCasino  # soft\n\nx y\t0.5\n")
+    assert url_vocab.read_vocabulary(str(tmp_path / "terms.tsv")) == [("porn", 2.0), ("Casino", 1.0), ("x y", 0.5)]
+
+
 def test_op5_shares_and_bounds(spark, data):
     out = curriculum.op5_source_mix(spark, data).toPandas()
     src = {r.doc_id: r.source for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -264,9 +298,29 @@ def test_op5_mix_is_sorted_and_whole(spark, odd, none):
     mix = curriculum.mixed(odd)
     assert mix.columns == odd.columns
     assert Counter(r.doc_id for r in mix.collect()) == Counter({k: v for k, v in plan.items() if v})
+    assert Counter(map(repr, mix.dropDuplicates().collect())) <= Counter(map(repr, odd.dropDuplicates().collect()))
     assert curriculum.mix_plan(none).count() == 0 and curriculum.mixed(none).count() == 0
 
 
+def test_op5_hot_ids_repeated_rows_and_order(spark):
+    """One id, null, of all rows; rows alike; rows with one id and text that differ elsewhere. The mix is in the order of its positions."""
+    rows = [(None, f"w{i} " * (1 + i % 7), f"s{i % 2}", i) for i in range(300)] + [(None, "same text here", "s0", 0)] * 40 + [(5, "one text", "s1", k) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long").repartition(4)
+    plan = [r for r in curriculum.mix_plan(docs).collect()]
+    assert len(plan) == len(rows) and all(len(r.positions) == r.copies and r.positions == sorted(r.positions) for r in plan)
+    for s in ("s0", "s1"):  # the documents of a source lie end to end
+        own = sorted((r.before, r["size"]) for r in plan if r.source == s)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) == {r.source_size for r in plan if r.source == s}.pop()
+    mix = curriculum.mixed(docs)
+    parts = mix.rdd.glom().map(lambda p: [(r.doc_id, r.text, r.source, r.k) for r in p]).collect()
+    got = [r for p in parts for r in p]
+    assert got == [r for p in curriculum.mixed(docs.repartition(7)).rdd.glom().map(lambda p: [(r.doc_id, r.text, r.source, r.k) for r in p]).collect() for r in p]
+    assert Counter(r[1] for r in got)["same text here"] == sum(r.copies for r in plan if r["size"] == 3 and r.source == "s0" and r.row in {x.row for x in plan if x.turn > 0})
+    assert len(got) == sum(r.copies for r in plan)
+    with pytest.raises(ValueError, match="whole number"):
+        curriculum.mix_plan(docs, most=1.5)
+
+
 def test_op5_inverse(spark):
     at = [i / 16 for i in range(17)]
     for s in curriculum.SCHEDULES:
