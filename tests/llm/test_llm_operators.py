@@ -464,16 +464,77 @@ def test_op9_round_trip(spark):
     got = warc.read_archives(made, folder, payloads=True).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter([(5, "response", None, 0), (1, "response", None, len(big.encode())), (1, "response", None, len(big.encode())), (7, "revisit", 1, len(big.encode())), (None, "revisit", 1, len(big.encode())), (2, "response", None, 5), (3, "response", None, 5)])
     assert all(bytes(r.payload) == big.encode() for r in got if r.record_type == "response" and r.page_id == 1)
-    none = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.response_or_revisit(none).count() == 0
+    assert Counter((r.page_id, r.refers_to) for r in warc.checked(warc.read_archives(made, folder)).collect()) == Counter((r.page_id, r.refers_to) for r in got)
+    empty = warc.write_archives(warc.response_or_revisit(spark.createDataFrame([], "page_id long, url string, html string")), folder)
+    assert warc.checked(warc.read_archives(warc._shared.written(empty, "l"), folder)).count() == 0
 
 
-def test_op9_damage_is_found():
+def test_op9_ids_of_any_type_and_clashing_columns(spark):
+    ids = ["", "none", "a b>%", "é/ü", None, "x"]
+    rows = [(i, "u", "same payload " * 20, "p", "d", "f") for i in ids]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, payload string, digest string, first string")
+    folder = warc._shared.shared_dir(spark, "w")
+    made = warc._shared.written(warc.write_archives(warc.response_or_revisit(pages), folder), "l")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.checked(warc.read_archives(made, folder, id_type="string")).collect()}
+    assert got == {i: ("response", None) if i == "" else ("revisit", "") for i in ids}
+
+
+def _warc(kind, headers, block, **more):
+    lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"Content-Length: %d" % len(block), *headers]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_op9_reads_other_writers():
+    import base64
+    import gzip
+    import io
+
+    body = b"<p>hi</p>" * 50_000
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    sha1 = base64.b32encode(hashlib.sha1(body).digest())
+    rows = [
+        _warc(b"warcinfo", [b"Content-Type: application/warc-fields"], b"software: x\r\n"),
+        _warc(b"request", [b"Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        _warc(b"response", [b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + sha1, b"WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(http).digest()), b"WARC-Record-ID: <urn:uuid:1>", b"WARC-Target-URI: http://a/"], http),
+        _warc(b"resource", [b"WARC-Payload-Digest: crc:1", b"X-Folded: a", b"\tb"], b""),
+        _warc(b"response", [b"Content-Type: application/http"], http),
+    ]
+    for data in (b"".join(map(gzip.compress, rows)), b"".join(rows)):
+        got = list(warc.records(io.BytesIO(data), payloads=True))
+        assert [r["warc-type"] for r in got] == ["warcinfo", "request", "response", "resource", "response"]
+        assert got[2]["payload"] == got[4]["payload"] == body and got[2]["payload_sha256"] == hashlib.sha256(body).hexdigest() and got[3]["x-folded"] == "a b"
+        assert all("payload" not in r for r in warc.records(io.BytesIO(data)))
+    bad = rows[2].replace(b"<p>hi</p>", b"<p>ho</p>", 1)
+    for data, said in ((gzip.compress(bad), "digest"), (gzip.compress(rows[0])[:-12], "ends"), (gzip.compress(rows[0] + b"more"), "frame"), (gzip.compress(rows[0][:-4]), "frame"), (gzip.compress(b"x" * (4 << 20)), "too long|no WARC"), (gzip.compress(rows[0].replace(b"Length: 13", b"Length: 9")), "frame")):
+        with pytest.raises(ValueError, match=said):
+            list(warc.records(io.BytesIO(data)))
+
+
+def test_op9_a_bomb_passes_in_pieces():
+    """A payload of 300 MB in a member of 300 kB is read without being held."""
+    import gzip
+    import io
+    import tracemalloc
+
+    body = bytes(300 << 20)
+    data = gzip.compress(_warc(b"resource", [], body), 1)
+    want = hashlib.sha256(body).hexdigest()
+    del body
+    tracemalloc.start()
+    (r,) = warc.records(io.BytesIO(data))
+    assert r["payload_sha256"] == want and tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
+def test_op9_damage_is_found(spark):
     raw = bytearray(warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None))
     assert warc.parse(raw)["payload"] == b"payload"
     raw[-6] ^= 1
     with pytest.raises(ValueError, match="digest"):
         warc.parse(raw)
+    found = spark.createDataFrame([("r", 1, "u", 5, "aa", "response", None), ("v", 2, "u", 5, "bb", "revisit", 1)], "record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    with pytest.raises(Exception, match="no response for revisit v"):
+        warc.checked(found).collect()
 
 
 def test_op10_equals_the_library(spark, odd, none):
