@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quarryline.llm import _text, bpe, curriculum, licenses, line_chunks, media_archive, near_dups, quality, registry, secrets_lex, url_vocab, warc
+from quarryline.llm import _shared, _text, bpe, curriculum, licenses, line_chunks, media_archive, near_dups, quality, registry, secrets_lex, url_vocab, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "word " * 60_000
@@ -635,6 +635,31 @@ def test_op10_query_equals_the_library_over_documents(spark, data, docs):
         assert (g.n_tokens, g.ids_sha256, g.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
 
 
+def test_shared_folder_is_of_the_default_file_system(spark):
+    assert _shared.store_uri("s3a://b/k") == "s3://b/k" and _shared.store_uri("file:/x") == "file:///x" and _shared.store_uri("hdfs://n/x") == "hdfs://n/x" and _shared.store_uri("/x") == "/x"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.viewfs.mounttable.own.link./here", "file:///tmp")
+        conf.set("fs.defaultFS", "viewfs://own/")
+        assert _shared.qualified(spark, "/here/work") == "viewfs://own/here/work"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert _shared.qualified(spark, "/tmp/work") == "file:///tmp/work"
+
+
+def test_owned_tables_are_freed(spark):
+    import os
+
+    with _shared.owned("someone"):
+        path = _shared.shared_dir(spark, "x")
+        spark.range(3).write.parquet(path)
+    kept = _shared.shared_dir(spark, "y")
+    spark.range(3).write.parquet(kept)
+    _shared.free(spark, "someone")
+    assert not os.path.exists(path.removeprefix("file://")) and spark.read.parquet(kept).count() == 3
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as c
 
