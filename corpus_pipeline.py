@@ -8,31 +8,54 @@ line_dedup      removes repeated runs of lines from the texts; every row stays
 near_dedup      keeps one document of each class of near copies; texts left empty by line dedup are equal, so of one class
 source_mix      returns the mix in training order: a row for each copy taken, so a document comes up to twice or not at all
 byte_bpe        returns doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes for every row of the mix
+
+A stage's result is written before the next stage begins, so each stage first frees the working tables of those before it.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm import _shared, bpe, curriculum, line_chunks, near_dups, quality
 
 
+_OWNER = "pipeline"
+
+
+def _stage(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _shared.free(spark, _OWNER)
+        with _shared.owned(_OWNER):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(docs, line_chunks.Runs())
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dups.near_dedup(docs)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum.mixed(docs)
 
 
+@_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, *bpe.default_vocabulary())
 
@@ -45,7 +68,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, own, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), uuid.uuid4().hex, ""
     for name, stage in STAGES[:-1]:
-        docs = _shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with _shared.owned(f"{own}-{name}"):
+            docs = _shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            _shared.free(spark, before)
+        before = f"{own}-{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
