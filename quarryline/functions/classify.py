@@ -41,6 +41,7 @@ GHOST = r"\b(always hiring|evergreen|general application|talent (?:community|poo
 ENTRY_TITLE = r"\b(intern(?:ship)?|co[\s-]?op|new\s*grad|entry)\b"
 YEARS = r"\b(\d{1,2})\+?\s*years?(?:\s+of)?\s+(?:experience|exp)\b"
 LOW_TRUST = ["listing", "remotive", "jobicy", "arbeitnow", "themuse", "hackernews"]
+QUALITY_FLAGS = ["content_free", "agency", "mlm_scam", "personal_email_apply", "ghost_language", "ghost_duration", "requirement_incoherence", "rolling"]
 BAD_VERDICTS = ["spam", "ghost", "agency", "mlm"]
 
 
@@ -70,6 +71,13 @@ def level_tags(title: Column, text: Column) -> Column:
     return all_labels(F.concat_ws("\n", title, text), LEVEL_TAGS)
 
 
+def classified(title: Column, text: Column) -> Column:
+    """STRUCT(is_internship, kind, tags): the three together, each pattern once in the plan."""
+    read = F.struct(title.alias("title"), text.alias("text"), is_internship(title, text).alias("is_internship"), F.concat_ws("\n", title, text).alias("both"))
+    kind = lambda x: F.when(x["is_internship"], F.coalesce(first_label(x["title"], KINDS), first_label(x["both"], KINDS)))
+    return F.transform(F.array(read), lambda x: F.struct(x["is_internship"].alias("is_internship"), kind(x).alias("kind"), all_labels(x["both"], LEVEL_TAGS).alias("tags")))[0]
+
+
 def is_early_title(title: Column) -> Column:
     return has(title, EARLY_TITLE)
 
@@ -94,26 +102,31 @@ def days_open(posted: Column, first_seen: Column, last_seen: Column, now: Column
 
 def quality(title: Column, text: Column, ats: Column, open_days: Column, rolling: Column, least_chars: int = 300, ghost_days: int = 45) -> Column:
     """STRUCT(score, flags, hint): 100 less the penalty of every flag that holds, 0 to 100; flags in the order of the rules."""
-    title, text = F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))
-    both = F.concat_ws("\n", title, text)
-    low = ats.isin(LOW_TRUST)
-    years = F.regexp_extract(text, "(?i)" + YEARS, 1).try_cast("int")
-    rules = [
-        ("content_free", F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < least_chars, F.when(low, 30.0).otherwise(20.0)),
-        ("agency", has(both, AGENCY), F.lit(25.0)),
-        ("mlm_scam", has(both, SCAM) | has(both, CONTACT_ONLY), F.lit(45.0)),
-        ("personal_email_apply", has(text, PERSONAL_EMAIL), F.when(low, 20.0).otherwise(8.0)),
-        ("ghost_language", has(both, GHOST), F.lit(20.0)),
-        ("ghost_duration", open_days > ghost_days, F.least(F.lit(25.0), 10.0 + (open_days - ghost_days) / 6.0)),
-        ("requirement_incoherence", has(title, ENTRY_TITLE) & (F.coalesce(years >= 4, F.lit(False)) | has(title, SENIOR)), F.lit(15.0)),
-        ("rolling", F.coalesce(rolling, F.lit(False)), F.lit(2.0)),
-    ]
-    flags = F.filter(F.array(*(F.when(hit, F.lit(name)) for name, hit, _ in rules)), lambda x: x.isNotNull())
-    score = F.lit(100.0)
-    for _, hit, cost in rules:
-        score = score - F.when(hit, cost).otherwise(0.0)
-    hint = F.when(rules[2][1] | (rules[1][1] & rules[0][1]), "suspect").when(F.size(F.array_remove(flags, "rolling")) > 0, "unclear").otherwise("ok")
-    return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), flags.alias("flags"), hint.alias("hint"))
+    read = F.struct(F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), ats.isin(LOW_TRUST).alias("low"), open_days.alias("days"), F.coalesce(rolling, F.lit(False)).alias("rolling"))
+
+    def rules(x: Column) -> Column:
+        """For each rule its cost where it holds, else null."""
+        both = F.concat_ws("\n", x["title"], x["text"])
+        years = F.regexp_extract(x["text"], "(?i)" + YEARS, 1).try_cast("int")
+        return F.array(
+            F.when(F.length(F.regexp_replace(x["text"], r"(?U)^\s+|\s+$", "")) < least_chars, F.when(x["low"], 30.0).otherwise(20.0)),
+            F.when(has(both, AGENCY), F.lit(25.0)),
+            F.when(has(both, SCAM) | has(both, CONTACT_ONLY), F.lit(45.0)),
+            F.when(has(x["text"], PERSONAL_EMAIL), F.when(x["low"], 20.0).otherwise(8.0)),
+            F.when(has(both, GHOST), F.lit(20.0)),
+            F.when(x["days"] > ghost_days, F.least(F.lit(25.0), 10.0 + (x["days"] - ghost_days) / 6.0)),
+            F.when(has(x["title"], ENTRY_TITLE) & (F.coalesce(years >= 4, F.lit(False)) | has(x["title"], SENIOR)), F.lit(15.0)),
+            F.when(x["rolling"], F.lit(2.0)),
+        )
+
+    def judged(costs: Column) -> Column:
+        score = F.aggregate(costs, F.lit(100.0), lambda s, c: s - F.coalesce(c, F.lit(0.0)))
+        flags = F.filter(F.transform(costs, lambda c, i: F.when(c.isNotNull(), F.array(*map(F.lit, QUALITY_FLAGS))[i])), lambda x: x.isNotNull())
+        hint = F.when(costs[2].isNotNull() | (costs[1].isNotNull() & costs[0].isNotNull()), "suspect").when(F.size(F.array_remove(flags, "rolling")) > 0, "unclear").otherwise("ok")
+        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), flags.alias("flags"), hint.alias("hint"))
+
+    # functions over arrays of one: each pattern stands once in the plan and runs once a row
+    return F.transform(F.transform(F.array(read), rules), judged)[0]
 
 
 def shown_on_dashboard(verdict: Column, confidence: Column) -> Column:

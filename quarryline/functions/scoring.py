@@ -93,3 +93,28 @@ def age_text(at: Column, now: Column) -> Column:
     minutes = F.floor((F.unix_seconds(now) - F.unix_seconds(at)) / 60)
     hours = F.floor(minutes / 60)
     return F.when(at.isNull(), "age unknown").when(minutes < 0, "just posted").when(minutes < 60, F.concat(F.lit("posted "), minutes, F.lit("m ago"))).when(hours < 48, F.concat(F.lit("posted "), hours, F.lit("h ago"))).otherwise(F.concat(F.lit("posted "), F.floor(hours / 24), F.lit("d ago")))
+
+
+#: What a model may say of a posting.
+VERDICTS = ["ok", "spam", "ghost", "agency", "mlm", "unclear"]
+
+
+def judged_quality(reply: Column) -> Column:
+    """STRUCT(verdict, legit, substance, confidence, score, flags, reason) of a model's JSON object; null without one. An unknown verdict is
+    unclear, numbers are whole and 0 to 100, score is the mean of legit and substance to one place."""
+    get = lambda k: F.get_json_object(reply, f"$.{k}")
+    whole = lambda k: clamp(F.coalesce(get(k).try_cast("double").cast("int"), F.lit(0)), 0, 100)
+    said = F.lower(F.trim(get("verdict")))
+    flags = F.coalesce(F.from_json(get("flags"), "ARRAY<STRING>"), F.array().cast("array<string>"))
+    return F.when(reply.isNotNull(), F.struct(
+        F.when(said.isin(VERDICTS), said).otherwise("unclear").alias("verdict"), whole("legit").alias("legit"), whole("substance").alias("substance"), whole("confidence").cast("double").alias("confidence"),
+        F.bround((whole("legit") + whole("substance")) / 2.0, 1).alias("score"), flags.alias("flags"), F.coalesce(get("reason"), F.lit("")).alias("reason"),
+    ))
+
+
+def with_quality(jobs, judged):
+    """jobs after judgements (job_uid, q of judged_quality): verdict, confidence and score are replaced, flags joined; no judgement, no change."""
+    q = F.col("q")
+    new = {"quality_verdict": q["verdict"], "quality_confidence": q["confidence"], "quality_score": q["score"], "quality_flags": F.array_distinct(F.concat(F.coalesce("quality_flags", F.array().cast("array<string>")), q["flags"]))}
+    both = jobs.join(judged, "job_uid", "left")
+    return both.select(*(F.when(q.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))

@@ -62,26 +62,35 @@ def word_after(parts: Column, name: str) -> Column:
 
 
 def board(url: Column) -> Column:
-    """STRUCT(ats, token) of the board that a url belongs to, null if none. The first rule that gives a token wins."""
-    h, parts = host(url), path_words(url)
-    in_ = lambda x: F.contains(h, F.lit(x))
-    starts = lambda x: F.startswith(h, F.lit(x))
-    on = lambda x: (h == x) | F.endswith(h, F.lit("." + x))
-    rest = F.when(word(parts, 1).isin("embed", "v1"), F.slice(parts, 2, 1000)).otherwise(parts)
-    rest = F.when(word(rest, 1) == "boards", F.slice(rest, 2, 1000)).otherwise(rest)
-    asked = query_value(url, "for")
+    """STRUCT(ats, token) of the board that a url belongs to, null if none. The first rule that gives a token wins.
+
+    Host and path are read once, as the variable of a function over an array of one: inlined into every rule they would fill the plan."""
+    read = F.struct(host(url).alias("h"), path_words(url).alias("p"), query_value(url, "for").alias("asked"))
+    return F.transform(F.array(read), _board)[0]
+
+
+def _board(x: Column) -> Column:
+    h, parts, asked = x["h"], x["p"], x["asked"]
+    in_ = lambda n: F.contains(h, F.lit(n))
+    starts = lambda n: F.startswith(h, F.lit(n))
+    api = lambda n, *versions: starts(n) & (F.size(parts) >= 2) & word(parts, 1).isin(*versions)
+    skipped = word(parts, 1).isin("embed", "v1").cast("int")
+    skipped = F.coalesce(skipped, F.lit(0)) + F.coalesce((F.try_element_at(parts, F.coalesce(skipped, F.lit(0)) + 1) == "boards").cast("int"), F.lit(0))
+    #: (system, condition, word that should be the token)
     rules = [
-        ("greenhouse", F.when(in_("greenhouse.io"), F.when(asked.isNotNull(), token(asked)).when(starts("boards-api") & (F.size(parts) >= 2) & (word(parts, 1) == "v1"), F.lit(None).cast("string")).otherwise(token(word(rest, 1))))),
-        ("lever", F.when(in_("lever.co"), token(F.when(starts("api.lever.co") & (F.size(parts) >= 2) & word(parts, 1).isin("v0", "v1"), word(parts, 3)).otherwise(word(parts, 1))))),
-        ("ashby", F.when(in_("ashbyhq.com"), token(F.when(starts("api.ashbyhq.com"), word_after(parts, "job-board")).otherwise(word(parts, 1))))),
-        ("smartrecruiters", F.when(in_("smartrecruiters.com"), token(F.when(starts("api.smartrecruiters.com"), word_after(parts, "companies")).otherwise(word(parts, 1))))),
-        ("workable", F.when(in_("workable.com"), token(F.when(starts("apply.workable.com"), word(parts, 1)).when(starts("www.workable.com") | starts("workable.com"), word_after(parts, "accounts")).otherwise(F.split_part(h, F.lit(".workable.com"), F.lit(1)))))),
-        ("workday", F.when(F.endswith(h, F.lit(".myworkdayjobs.com")), token(F.split_part(h, F.lit("."), F.lit(1))))),
+        ("greenhouse", in_("greenhouse.io") & (asked.isNotNull() | ~F.coalesce(api("boards-api", "v1"), F.lit(False))), F.coalesce(asked, F.try_element_at(parts, skipped + 1))),
+        ("lever", in_("lever.co"), F.when(api("api.lever.co", "v0", "v1"), word(parts, 3)).otherwise(word(parts, 1))),
+        ("ashby", in_("ashbyhq.com"), F.when(starts("api.ashbyhq.com"), word_after(parts, "job-board")).otherwise(word(parts, 1))),
+        ("smartrecruiters", in_("smartrecruiters.com"), F.when(starts("api.smartrecruiters.com"), word_after(parts, "companies")).otherwise(word(parts, 1))),
+        ("workable", in_("workable.com"), F.when(starts("apply.workable.com"), word(parts, 1)).when(starts("www.workable.com") | starts("workable.com"), word_after(parts, "accounts")).otherwise(F.split_part(h, F.lit(".workable.com"), F.lit(1)))),
+        ("workday", F.endswith(h, F.lit(".myworkdayjobs.com")), F.split_part(h, F.lit("."), F.lit(1))),
     ]
-    rules += [(ats, F.when(on(x), token(word_after(parts, w)))) for x, w, ats in AFTER_WORD]
-    rules += [(ats, F.when(on(x), token(word(parts, 1)))) for x, ats in FIRST_WORD]
-    rules += [(ats, F.when(F.endswith(h, F.lit(s)), token(F.substring_index(F.substring(h, F.lit(1), F.length(h) - len(s)), ".", -1)))) for s, ats in SUBDOMAINS]
-    return F.coalesce(*(F.when(t.isNotNull(), F.struct(F.lit(ats).alias("ats"), t.alias("token"))) for ats, t in rules))
+    rules += [(ats, (h == n) | F.endswith(h, F.lit("." + n)), word_after(parts, w)) for n, w, ats in AFTER_WORD]
+    rules += [(ats, (h == n) | F.endswith(h, F.lit("." + n)), word(parts, 1)) for n, ats in FIRST_WORD]
+    rules += [(ats, F.endswith(h, F.lit(n)), F.substring_index(F.substring(h, F.lit(1), F.length(h) - len(n)), ".", -1)) for n, ats in SUBDOMAINS]
+    meant = F.filter(F.array(*(F.when(hit, F.struct(F.lit(ats).alias("ats"), t.alias("token"))) for ats, hit, t in rules)), lambda c: c["token"].isNotNull())
+    trimmed = F.transform(meant, lambda c: F.struct(c["ats"].alias("ats"), F.regexp_replace(F.trim(c["token"]), "^/+|/+$", "").alias("token")))
+    return F.try_element_at(F.filter(trimmed, lambda c: c["token"].rlike(TOKEN) & ~F.lower(c["token"]).isin(RESERVED)), F.lit(1))
 
 
 def workday_site(url: Column) -> Column:

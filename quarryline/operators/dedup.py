@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarryline.functions import scoring
+from quarryline.functions import scoring, text
 from quarryline.operators import graph
 from quarryline.operators.relational import first_per
 
@@ -51,6 +53,11 @@ def fuzzy_groups(jobs: DataFrame, least: float = 0.9) -> DataFrame:
     return jobs.select("company_slug", "ord", "title_key", "place", "is_remote").groupBy("company_slug").applyInPandas(run, "ord long, leader long")
 
 
+def duplicate_key(slug, title) -> list:
+    """Columns that postings of one title in one company share."""
+    return [slug.alias("company_slug"), text.title_key(title).alias("title_key")]
+
+
 def exact_first(jobs: DataFrame) -> DataFrame:
     """First posting of each url_hash in input order."""
     return first_per(jobs, ["url_hash"], "ord")
@@ -65,14 +72,34 @@ def collapse(jobs: DataFrame, least: float = 0.9) -> DataFrame:
     return grouped.groupBy("leader").agg(F.min_by("ord", rank).alias("ord"), (F.count("*") - 1).alias("times_seen_elsewhere"))
 
 
-def similar_pairs(vectors: DataFrame, block: str, key: str, vector: str, least: float) -> DataFrame:
-    """(a, b, similarity) within blocks, a before b. The vectors are scaled once, so a pair costs one dot product; the join's blocks
-    are split by adaptive execution where one is large."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select(F.col(block).alias("k"), F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)).alias("u"))
-    a, b = unit.select("k", F.col("id").alias("a"), F.col("u").alias("ua")), unit.select("k", F.col("id").alias("b"), F.col("u").alias("ub"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "k").where("a < b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= least)
+def _units(column) -> np.ndarray:
+    """Rows of an array column as unit vectors in double; a zero vector stays zero."""
+    out = np.array([np.asarray(v, np.float64) for v in column])
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def similar_pairs(vectors: DataFrame, block: str, key: str, vector: str, least: float, tile: int = 2048) -> DataFrame:
+    """(a, b, similarity) within blocks, a before b. A block of n vectors is cut into about n / `tile` tiles; a task multiplies the matrices
+    of one pair of tiles, so a large block spreads over many tasks and a task holds two tiles. Only pairs of `least` or more leave it."""
+    own = vectors.select(F.col(block).alias("k"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    tiles = own.groupBy("k").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
+    placed = own.join(tiles, "k").withColumn("t", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("k", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "v")
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["t"] == i], pdf[pdf["t"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pdf["id"].iloc[:0], "b": pdf["id"].iloc[:0], "similarity": np.zeros(0)})
+        own, other, dots = left["id"].to_numpy(), right["id"].to_numpy(), _units(left["v"]) @ _units(right["v"]).T
+        x, y = np.nonzero(dots >= least)
+        keep = own[x] < other[y] if i == j else own[x] != other[y]
+        x, y = x[keep], y[keep]
+        return pd.DataFrame({"a": np.where(own[x] < other[y], own[x], other[y]), "b": np.where(own[x] < other[y], other[y], own[x]), "similarity": dots[x, y]})
+
+    return dealt.groupBy("k", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def semantic_groups(vectors: DataFrame, block: str, key: str, vector: str, least: float = 0.9) -> DataFrame:
@@ -80,32 +107,91 @@ def semantic_groups(vectors: DataFrame, block: str, key: str, vector: str, least
     return graph.components(similar_pairs(vectors, block, key, vector, least).select("a", "b"))
 
 
+def collapse_semantic(jobs: DataFrame, vectors: DataFrame, least: float = 0.9) -> DataFrame:
+    """Canonical postings by semantic groups: the best of each (tier, date of posting, first sight), with the number of others added to its
+    times_seen_elsewhere. jobs: ord, ats, posted, first_seen, times_seen_elsewhere; vectors: ord, company_slug, vector."""
+    groups = semantic_groups(vectors, "company_slug", "ord", "vector", least).select(F.col("node").alias("ord"), F.col("label").alias("leader"))
+    both = jobs.join(groups, "ord", "left").withColumn("leader", F.coalesce("leader", "ord"))
+    rank = F.struct(F.when(F.col("ats").isin(TIER_A), 0).otherwise(1), F.coalesce("posted", F.lit(1 << 62)), "first_seen", "ord")
+    out = both.groupBy("leader").agg(F.min_by(F.struct("ord", "times_seen_elsewhere"), rank).alias("b"), F.count("*").alias("n"))
+    return out.select("b.ord", (F.coalesce("b.times_seen_elsewhere", F.lit(0)) + F.col("n") - 1).alias("times_seen_elsewhere"))
+
+
+def embedding_plan(texts: DataFrame, cache: DataFrame, column: str) -> DataFrame:
+    """texts with key (SHA-256 of the text), vector (of the cache, null: none) and action: cached, or encode for those without one and for
+    those whose vector's size isn't the commonest. cache: key, vector."""
+    keyed = texts.withColumn("key", F.sha2(F.col(column), 256)).join(cache.groupBy("key").agg(F.first("vector").alias("vector")), "key", "left")
+    size = F.size("vector")
+    commonest = keyed.where("vector IS NOT NULL").groupBy(size.alias("size")).agg(F.count("*").alias("n")).agg(F.max_by("size", F.struct("n", "size")).alias("usual"))
+    return keyed.join(F.broadcast(commonest), how="cross").withColumn("action", F.when(F.col("vector").isNotNull() & (size == F.col("usual")), "cached").otherwise("encode")).drop("usual")  # one row
+
+
+def ranked_jobs(jobs: DataFrame, profile: list[float], vector: str, key: str) -> DataFrame:
+    """jobs with fit, their cosine to the profile held to 0 and 1, best first."""
+    raw = scoring.cosine(F.col(vector), F.array(*map(F.lit, profile)))
+    return jobs.withColumn("_c", raw).withColumn("fit", scoring.clamp(F.col("_c"), 0.0, 1.0)).orderBy(F.desc("_c"), key).drop("_c")
+
+
+#: Bytes of one block of seeds or queries sent to all workers.
+BLOCK_BYTES = 64 << 20
+
+
+def _blocks(seeds: DataFrame, key: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(keys, unit vectors) of the seeds, block after block of about `block` rows and BLOCK_BYTES."""
+    count, size = seeds.agg(F.count("*"), F.max(F.size(vector))).first()
+    parts = max(-(-count // block), -(-(count * max(size or 0, 1) * 8) // BLOCK_BYTES), 1)
+    dealt = seeds.select(key, F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    for i in range(parts):
+        rows = dealt.where(F.col("part") == i).orderBy(key).collect()
+        if rows:
+            yield [r[0] for r in rows], _units([r["v"] for r in rows])
+
+
 def nearest_seed(candidates: DataFrame, seeds: DataFrame, key: str, vector: str, n: int, block: int = 10_000) -> DataFrame:
-    """The n candidates closest to any seed: (key, similarity). Any number of seeds: `block` of them at a time are sent to all workers,
-    and each candidate keeps the best of all blocks."""
-    count = seeds.count()
-    parts = -(-count // block) or 1
-    dealt = seeds.select(F.col(vector).alias("seed"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    """The n candidates closest to any seed: (key, similarity). Any number of seeds: a block of them at a time goes to all workers as one
+    matrix, and each candidate's best is found in its batch, without a shuffle."""
+    kind = candidates.schema[key].dataType.simpleString()
     best = None
-    for i in range(parts):
-        s = F.broadcast(dealt.where(F.col("part") == i).select("seed"))
-        own = candidates.join(s, how="cross").groupBy(key).agg(F.max(scoring.cosine(F.col(vector), F.col("seed"))).alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+    for _, matrix in _blocks(seeds, key, vector, block):
+        held = candidates.sparkSession.sparkContext.broadcast(matrix)
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"k": b["k"], "similarity": (_units(b["v"]) @ held.value.T).max(1)})
+
+        own = candidates.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, f"k {kind}, similarity double").orderBy(F.desc("similarity"), "k").limit(n)
         best = own if best is None else best.unionAll(own)
-    return best.groupBy(key).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+    if best is None:
+        return candidates.select(key, F.lit(0.0).alias("similarity")).limit(0)
+    return best.groupBy("k").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "k").limit(n).select(F.col("k").alias(key), "similarity")
 
 
 def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 10_000) -> DataFrame:
-    """(query, key, similarity, place): for each query the k most similar of all rows but itself, ties by key. Any number of queries:
-    `block` of them at a time are sent to all workers."""
-    parts = -(-queries.count() // block) or 1
-    dealt = queries.select(F.col(key).alias("query"), F.col(vector).alias("seed"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    """(query, key, similarity, place): for each query the k most similar of all rows but itself, ties by key. Any number of queries: a block
+    of them at a time goes to all workers as one matrix; each batch of rows keeps its own k best of each query."""
+    kind = rows.schema[key].dataType.simpleString()
     pairs = None
-    for i in range(parts):
-        q = F.broadcast(dealt.where(F.col("part") == i).select("query", "seed"))
-        own = rows.join(q, F.col(key) != F.col("query")).select("query", key, scoring.cosine(F.col(vector), F.col("seed")).alias("similarity"))
+    for names, matrix in _blocks(queries, key, vector, block):
+        held = rows.sparkSession.sparkContext.broadcast((np.array(names), matrix))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            names, matrix = held.value
+            for b in batches:
+                if not len(b):
+                    continue
+                ids, dots = b["k"].to_numpy(), _units(b["v"]) @ matrix.T
+                dots[ids[:, None] == names[None, :]] = -np.inf
+                bound = -np.partition(-dots, min(k, len(ids)) - 1, axis=0)[min(k, len(ids)) - 1]
+                x, y = np.nonzero((dots >= bound) & np.isfinite(dots))  # ties at the bound stay; the window cuts them
+                yield pd.DataFrame({"query": names[y], "k": ids[x], "similarity": dots[x, y]})
+
+        own = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, f"query {kind}, k {kind}, similarity double")
         pairs = own if pairs is None else pairs.unionAll(own)
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    if pairs is None:
+        return rows.select(F.col(key).alias("query"), key, F.lit(0.0).alias("similarity"), F.lit(0).alias("place")).limit(0)
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "k")
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", F.col("k").alias(key), "similarity", "place")
 
 
 def merge_people(people: DataFrame) -> DataFrame:

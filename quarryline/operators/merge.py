@@ -61,16 +61,49 @@ def new_boards(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def board_health(boards: DataFrame, polls: DataFrame, retire_at: int = 6) -> DataFrame:
-    """boards after polls (ats, token, ok, n_jobs, at), one row a board: success resets failures and adds jobs, failure adds one."""
-    both = boards.alias("b").join(polls.alias("p"), ["ats", "token"], "left")
-    failures = F.when(F.col("ok").isNull(), F.col("consecutive_failures")).when(F.col("ok"), 0).otherwise(F.col("consecutive_failures") + 1)
+    """boards after polls (ats, token, ok, n_jobs, at), one row a board: a success resets failures and adds its jobs, a failure adds one, in
+    the order of at. A polled board not known yet comes in as active."""
+    last_ok = polls.groupBy("ats", "token").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_ok"))
+    own = polls.join(last_ok, ["ats", "token"])
+    counted = own.groupBy("ats", "token").agg(
+        F.sum(F.when(F.col("ok"), F.col("n_jobs")).otherwise(0)).alias("seen"), F.max(F.when(F.col("ok") & (F.col("n_jobs") > 0), F.col("at"))).alias("active"), F.max(F.col("last_ok").isNotNull()).alias("healed"),
+        F.count_if(~F.col("ok") & (F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok")))).alias("fails"),
+    )
+    both = boards.withColumn("_known", F.lit(True)).join(counted, ["ats", "token"], "full")
+    failures = F.when(F.col("fails").isNull(), F.col("consecutive_failures")).when(F.col("healed"), F.col("fails")).otherwise(F.coalesce("consecutive_failures", F.lit(0)) + F.col("fails"))
     return both.select(
-        "ats", "token", (F.col("total_jobs_seen") + F.when(F.col("ok"), F.col("n_jobs")).otherwise(0)).alias("total_jobs_seen"), failures.alias("consecutive_failures"),
-        F.when(F.col("ok") & (F.col("n_jobs") > 0), F.col("at")).otherwise(F.col("last_active")).alias("last_active"),
-        F.when(failures >= retire_at, "retired").otherwise(F.col("status")).alias("status"),
+        "ats", "token", (F.coalesce("total_jobs_seen", F.lit(0)) + F.coalesce("seen", F.lit(0))).alias("total_jobs_seen"), failures.alias("consecutive_failures"),
+        F.coalesce("active", "last_active").alias("last_active"), F.when(failures >= retire_at, "retired").otherwise(F.coalesce("status", F.lit("active"))).alias("status"),
     )
 
 
+def merge_boards(boards: DataFrame, found: DataFrame) -> DataFrame:
+    """boards with those found that aren't known, as discovered. found: ats, token, company."""
+    fresh = found.groupBy("ats", "token").agg(F.min("company").alias("company")).join(boards.select("ats", "token"), ["ats", "token"], "left_anti")
+    return boards.unionByName(fresh.withColumns({"status": F.lit("discovered"), "total_jobs_seen": F.lit(0), "consecutive_failures": F.lit(0)}).select(*(c for c in [*fresh.columns, "status", "total_jobs_seen", "consecutive_failures"] if c in boards.columns)), allowMissingColumns=True)
+
+
+def poll_summary(polls: DataFrame) -> DataFrame:
+    """One row over a run's polls (ok, n_jobs, n_internships, n_inserted, n_updated): polled, failed and the sums of the others that went well."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).cast("long")
+    return polls.agg(F.count("*").alias("polled"), F.count_if(~F.col("ok")).alias("failed"), total("n_jobs").alias("jobs"), total("n_internships").alias("internships"), total("n_inserted").alias("inserted"), total("n_updated").alias("updated"))
+
+
+def last_high_water(runs: DataFrame) -> DataFrame:
+    """One row: high_water, the checkpoint of the latest run that isn't running; null if there is none."""
+    return runs.where("status <> 'running'").agg(F.max_by("checkpoint", "run_id").alias("high_water"))
+
+
+def frontier_anchor(postings: DataFrame, column: str) -> DataFrame:
+    """One row: anchor, the greatest id that is a whole number."""
+    return postings.agg(F.max(F.when(F.col(column).rlike(r"^\d{1,18}$"), F.col(column)).cast("long")).alias("anchor"))
+
+
+def merge_scores(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Scores by (job_uid, input_hash): fit and model are replaced, scored_at of a known one stays."""
+    return keyed_merge(old, new, ["job_uid", "input_hash"], {"fit_score": "take", "model": "take"})
+
+
 def high_water(frontier: DataFrame, checkpoint: Column) -> DataFrame:
     """From (id, ok): the next high-water mark and status. Errors hold the mark just below the least failed id."""
     failed = F.min(F.when(~F.col("ok"), F.col("id")))

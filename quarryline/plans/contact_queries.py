@@ -200,9 +200,9 @@ def _(spark, d):
     return html.parsed(table(spark, d, "pages").select("page_id", "html"), "page_id", "html").select("page_id", F.sha1("text").alias("text_sha1"), F.length("text").alias("n"))
 
 
-for _ats in ("greenhouse", "lever", "smartrecruiters", "recruitee", "bamboohr", "breezy", "rippling", "workday"):
+for _ats in adapters.SPECS:
 
     @QUERIES(f"q_adapter_{_ats}", adapters.sample_sql(_ats))
     def _(spark, d, ats=_ats):
         raw = adapters.sample_payloads(table(spark, d, "part"), ats)
-        return adapters.normalized(raw, ats).select("token", "source_job_id", "title", "location_raw", "url")
+        return adapters.normalized(raw, ats).select("token", "source_job_id", "title", "location_raw", "url", "job_uid", "url_hash", "company", "company_slug", "title_normalized", "city", "ats", "is_internship", "is_remote", "description_text")

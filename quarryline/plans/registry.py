@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.plans import contact_queries, posting_queries, state_queries, text_queries
+from quarryline.plans import answer_queries, contact_queries, listing_queries, people_queries, posting_queries, state_queries, text_queries
 
-_MODULES = (posting_queries, text_queries, state_queries, contact_queries)
+_MODULES = (posting_queries, text_queries, state_queries, contact_queries, listing_queries, answer_queries, people_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,16 +28,13 @@ JOBS = f"""
 SELECT doc_id, doc_id AS ord, sha1('doc|' || cast(doc_id AS varchar(20))) AS job_uid, {case('doc_id', SYSTEMS)} AS ats, 'Company ' || cast(doc_id % 50 AS varchar(20)) || ' Inc' AS company,
     'company-' || cast(doc_id % 50 AS varchar(20)) || '-inc' AS company_slug, 'www.company' || cast(doc_id % 50 AS varchar(20)) || '.com' AS company_domain, {case('doc_id', TITLES)} AS title,
     {case('doc_id', PLACES)} AS location_raw, nullif(trim({case('doc_id', PLACES)}), '') AS location_normalized, doc_id % 3 = 0 AS is_remote, doc_id % 16 IN (0, 2, 3, 4, 7, 9, 14) AS is_internship,
-    substr(text, 1, 200 + cast(doc_id % 7 AS int) * 60) || {case('doc_id', PHRASES)} AS description_text, doc_id % 20 AS board_id, 'https://jobs.example.com/' || cast(doc_id AS varchar(20)) AS url,
+    text || {case('doc_id', PHRASES)} AS description_text, doc_id % 20 AS board_id, 'https://jobs.example.com/' || cast(doc_id AS varchar(20)) AS url,
     CASE WHEN doc_id % 17 <> 0 THEN {DAY0} + (doc_id % 365) * 86400 END AS posted, {DAY0} + (doc_id % 300) * 86400 + 3600 AS first_seen, {DAY0} + (doc_id % 300) * 86400 + (doc_id % 90) * 90000 AS last_seen,
     CASE WHEN doc_id % 4 <> 1 THEN {DAY0} + (doc_id % 200) * 86400 END AS deadline, CASE WHEN doc_id % 11 <> 0 THEN cast(doc_id * 7919 % 1000 AS double) / 1000 END AS discovery_score,
     cast(doc_id * 31 % 101 AS double) AS quality_score, {case('doc_id', ['spam', 'ok', 'ghost', 'unclear', 'agency', 'mlm', 'none'])} AS verdict_, doc_id % 5 AS five,
     CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 7 = 6 THEN NULL ELSE {case('doc_id', ['spam', 'ok', 'ghost', 'unclear', 'agency', 'mlm', 'none'])} END AS quality_verdict,
     CASE WHEN doc_id % 5 <> 4 THEN cast(doc_id * 13 % 101 AS double) END AS quality_confidence, CASE WHEN doc_id % 6 = 5 THEN {DAY0} END AS notified_at, cast(doc_id % 4 AS int) AS seen_elsewhere
 FROM documents"""
-#: jobs cuts each text to a prefix; whole_jobs keeps all of it.
-CUT = "substr(text, 1, 200 + cast(doc_id % 7 AS int) * 60)"
-WHOLE_JOBS = JOBS.replace(CUT, "text")
 SCORES = """
 SELECT doc_id * 3 + k AS score_id, sha1('doc|' || cast(doc_id AS varchar(20))) AS job_uid, CASE WHEN k = 2 THEN 'prefilter:x' ELSE 'llm:x' END AS model, cast((doc_id * 37 + k * 50) % 101 AS double) AS fit_score,
     1704067200 + (doc_id * 11 + k * 977) % 5000 AS scored_at FROM labels CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) n"""
@@ -52,7 +49,7 @@ CHANNELS = f"""
 SELECT s_suppkey AS contact_id, {case('k', ['linkedin', 'x', 'github'])} AS kind, 'https://h' || cast(k AS varchar(20)) || '.example/' || cast(s_suppkey AS varchar(20)) AS value_norm, CASE WHEN (s_suppkey + k) % 4 <> 0 THEN cast((s_suppkey * 7 + k * 29) % 101 AS double) END AS confidence,
     (s_suppkey + k) % 2 = 0 AS verified, {case('s_suppkey + k', ['github', 'gravatar', 'other'])} AS source FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) n"""
 POLLS = "SELECT event_id AS ord, cast(user_id % 150 AS bigint) AS job_uid, ts, sha1(event_type) AS fingerprint FROM events"
-VIEWS = {"jobs": JOBS, "whole_jobs": WHOLE_JOBS, "scores": SCORES, "applications": APPLICATIONS, "contacts": CONTACTS, "channels": CHANNELS, "polls": POLLS}
+VIEWS = {"jobs": JOBS, "scores": SCORES, "applications": APPLICATIONS, "contacts": CONTACTS, "channels": CHANNELS, "polls": POLLS}
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -76,4 +73,5 @@ def bound(sql: str) -> str:
     sql = sql.strip()
     if not own:
         return sql
-    return "WITH " + ", ".join(own) + (", " + sql[5:] if sql.upper().startswith("WITH ") else " " + sql)
+    start = "WITH RECURSIVE " if sql.upper().startswith("WITH RECURSIVE ") else "WITH "
+    return start + ", ".join(own) + (", " + sql[len(start) :] if sql.upper().startswith("WITH ") else " " + sql)

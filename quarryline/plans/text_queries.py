@@ -70,12 +70,9 @@ _KIND = "CASE " + " ".join(f"WHEN {_m('title', p)} THEN '{n}'" for n, p in class
 
 
 @QUERIES("q_classify_internship", f"SELECT job_uid, {_IS} AS is_intern, CASE WHEN {_IS} THEN {_KIND} END AS kind, concat_ws(',', " + ", ".join(f"CASE WHEN {_m(_C, p)} THEN '{n}' END" for n, p in classify.LEVEL_TAGS) + f") AS tags, {_m('title', classify.EARLY_TITLE)} AS early FROM jobs")
-def _(spark, d, own="jobs"):
+def _(spark, d):
     t, x = F.col("title"), F.col("description_text")
-    return table(spark, d, own).select("job_uid", classify.is_internship(t, x).alias("is_intern"), classify.internship_kind(t, x).alias("kind"), F.array_join(classify.level_tags(t, x), ",").alias("tags"), classify.is_early_title(t).alias("early"))
-
-
-QUERIES.whole("q_classify_internship")
+    return table(spark, d, "jobs").select("job_uid", classify.is_internship(t, x).alias("is_intern"), classify.internship_kind(t, x).alias("kind"), F.array_join(classify.level_tags(t, x), ",").alias("tags"), classify.is_early_title(t).alias("early"))
 
 
 _ROLE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{n}')" for n in needles) + f" THEN '{name}'" for needles, name in classify.ROLES) + " ELSE 'other' END"
@@ -112,11 +109,8 @@ def _(spark, d):
 
 
 @QUERIES("q_all_urls", """SELECT job_uid, array_to_string(list_transform(regexp_extract_all(description_text, 'https?://[^\\s<>"'')]+', 0, 'i'), lambda u: regexp_replace(u, '[.,);]+$', '')), ' ') AS urls FROM jobs WHERE contains(description_text, '://')""")
-def _(spark, d, own="jobs"):
-    return table(spark, d, own).where(F.contains("description_text", F.lit("://"))).select("job_uid", F.array_join(text.all_urls(F.col("description_text")), " ").alias("urls"))
-
-
-QUERIES.whole("q_all_urls")
+def _(spark, d):
+    return table(spark, d, "jobs").where(F.contains("description_text", F.lit("://"))).select("job_uid", F.array_join(text.all_urls(F.col("description_text")), " ").alias("urls"))
 
 
 _SAYS = ["Acme Corp. is hiring interns", "We look for people at Foo & Bar, Inc today", "Zed hiring now", "nobody"]
@@ -129,13 +123,10 @@ def _(spark, d):
     return docs.select("doc_id", text.hiring_company(text.strip(F.col("v"))).alias("company"), text.title_line(F.col("v")).alias("title"))
 
 
-@QUERIES("q_identities", "SELECT doc_id, sha1(trim(url)) AS url_hash, sha1('listing|board|' || CASE WHEN doc_id % 2 = 0 THEN doc_id::varchar ELSE '' END || '|' || url) AS uid, sha1(title || chr(10) || substr(description_text, 1, 2000)) AS fingerprint FROM jobs")
-def _(spark, d, own="jobs"):
+@QUERIES("q_identities", "SELECT doc_id, sha1(trim(url)) AS url_hash, sha1('listing|board|' || CASE WHEN doc_id % 2 = 0 THEN doc_id::varchar ELSE '' END || '|' || url) AS uid, sha1(trim(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) || chr(10) || substr(description_text, 1, 2000)) AS fingerprint FROM jobs")
+def _(spark, d):
     source = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string"))
-    return table(spark, d, own).select("doc_id", text.url_hash(F.concat(F.lit(" "), "url", F.lit("\n"))).alias("url_hash"), text.posting_uid(F.lit("listing"), F.lit("board"), source, F.col("url")).alias("uid"), text.content_fingerprint(F.col("title"), F.col("description_text"), 2000 if own == "jobs" else None).alias("fingerprint"))
-
-
-QUERIES.whole("q_identities", "substr(description_text, 1, 2000)", "description_text")
+    return table(spark, d, "jobs").select("doc_id", text.url_hash(F.concat(F.lit(" "), "url", F.lit("\n"))).alias("url_hash"), text.posting_uid(F.lit("listing"), F.lit("board"), source, F.col("url")).alias("uid"), text.content_fingerprint(text.title_key(F.col("title")), F.col("description_text")).alias("fingerprint"))
 
 
 @QUERIES("q_age_text", f"SELECT doc_id, CASE WHEN m < 0 THEN 'just posted' WHEN m < 60 THEN 'posted ' || m || 'm ago' WHEN m < 2880 THEN 'posted ' || (m // 60) || 'h ago' ELSE 'posted ' || (m // 1440) || 'd ago' END AS age FROM (SELECT doc_id, (doc_id * 7 - 50) AS m FROM documents)")

@@ -92,7 +92,7 @@ def normalized(raw: DataFrame, ats: str) -> DataFrame:
     spec = SPECS[ats]
     rows = rows_of(raw, ats)
     picked = [F.expr(spec.fields.get(f, "cast(null as string)")).alias(f) if f != "remote" else F.coalesce(F.expr(spec.fields.get(f, "false")), F.lit(False)).alias(f) for f in FIELDS]
-    return finalized(rows.select(F.lit(ats).alias("ats"), "token", "company", *picked))
+    return finalized(rows.select(F.lit(ats).alias("ats"), "token", F.coalesce("company", "token").alias("company"), *picked))
 
 
 def bare_text(markup: Column) -> Column:
@@ -108,30 +108,48 @@ def finalized(rows: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Identity, class, place, dates and slug, derived alike for every format."""
     as_of = as_of if as_of is not None else F.current_timestamp()
     body = F.coalesce(F.nullif("text", F.lit("")), bare_text(F.replace(F.replace(F.col("html"), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))), F.lit(""))
-    df = rows.withColumns({"title": text.strip(F.coalesce("title", F.lit(""))), "company": F.coalesce("company", "token"), "description_text": body, "_place": text.location(F.col("location"))})
+    df = rows.withColumns({"title": text.strip(F.coalesce("title", F.lit(""))), "description_text": body, "_place": text.location(F.col("location"))}).withColumn("_class", classify.classified(F.col("title"), F.col("description_text")))
     t, x = F.col("title"), F.col("description_text")
     return df.select(
         text.posting_uid(F.col("ats"), F.col("token"), F.col("source_job_id"), F.col("url")).alias("job_uid"), "ats", "token", "source_job_id", "url", text.url_hash(F.col("url")).alias("url_hash"), "company",
-        text.company_slug(F.col("company")).alias("company_slug"), "title", text.title_key(t).alias("title_normalized"), "department", "employment_type", classify.is_internship(t, x).alias("is_internship"),
-        classify.internship_kind(t, x).alias("internship_kind"), classify.level_tags(t, x).alias("level_tags"), F.col("location").alias("location_raw"), F.col("_place.normalized").alias("location_normalized"), F.col("_place.country").alias("country"),
+        text.company_slug(F.coalesce("company", "token")).alias("company_slug"), "title", text.title_key(t).alias("title_normalized"), "department", "employment_type", F.col("_class.is_internship").alias("is_internship"),
+        F.col("_class.kind").alias("internship_kind"), F.col("_class.tags").alias("level_tags"), F.col("location").alias("location_raw"), F.col("_place.normalized").alias("location_normalized"), F.col("_place.country").alias("country"),
         F.col("_place.region").alias("region"), F.col("_place.city").alias("city"), (F.col("_place.is_remote") | F.col("remote")).alias("is_remote"), F.col("_place.remote_scope").alias("remote_scope"), "description_text", F.col("html").alias("description_html"),
         text.parsed_time(F.col("posted")).alias("posted_at"), F.coalesce(text.parsed_time(F.col("deadline")), text.deadline(x, as_of)).alias("deadline_at"), text.is_rolling(x).alias("is_rolling"),
     )
 
 
-def listings(items: DataFrame, keep_early: bool = False) -> DataFrame:
-    """Postings of aggregators: items have title, company, url, location, posted, source, text. The board is read out of the url, else
-    the format is listing; internships alone stay, and founding roles where asked for."""
+def listings(items: DataFrame, keep_early: bool = False, always: bool = False) -> DataFrame:
+    """Postings of aggregators: items have title, company, url, location, posted, source, text and may have source_job_id. The board is
+    read out of the url, else the format is listing and the token the company's slug; rows without title or url go. Internships alone
+    stay, and founding roles where asked for; `always` takes every row for an internship."""
     b = urls.board(F.col("url"))
-    rows = items.select(F.coalesce(b["ats"], F.lit("listing")).alias("ats"), F.coalesce(b["token"], F.col("source")).alias("token"), "company", F.lit(None).cast("string").alias("source_job_id"), "title", "url", "location", "text", F.lit(None).cast("string").alias("html"), "posted", F.lit(None).cast("string").alias("deadline"), F.lit(False).alias("remote"), F.lit(None).cast("string").alias("department"), F.lit(None).cast("string").alias("employment_type"))
+    own = F.col("source_job_id") if "source_job_id" in items.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    clean = items.withColumns({"title": text.strip("title"), "url": text.strip("url"), "company": F.nullif(text.strip("company"), F.lit(""))}).where("title <> '' AND url <> ''")
+    rows = clean.select(
+        F.coalesce(b["ats"], F.lit("listing")).alias("ats"), F.coalesce(b["token"], text.company_slug(F.col("company"))).alias("token"), "company", own.alias("source_job_id"), "title", "url", "location", "text",
+        none.alias("html"), "posted", none.alias("deadline"), F.lit(False).alias("remote"), none.alias("department"), none.alias("employment_type"),
+    )
     out = finalized(rows)
+    if always:
+        out = out.withColumn("is_internship", F.lit(True))
+    out = out.withColumn("internship_kind", F.when(F.col("is_internship"), F.coalesce("internship_kind", F.lit("intern"))))
     early = classify.is_early_title(F.col("title"))
     if keep_early:
-        out = out.withColumn("level_tags", F.when(early, F.array_distinct(F.concat("level_tags", F.array(F.lit("early-stage"))))).otherwise(F.col("level_tags")))
+        out = out.withColumn("level_tags", F.when(early & ~F.col("is_internship"), F.array_distinct(F.concat("level_tags", F.array(F.lit("early-stage"))))).otherwise(F.col("level_tags")))
         return out.where(F.col("is_internship") | early)
     return out.where("is_internship")
 
 
+def board_refs(postings: DataFrame) -> DataFrame:
+    """Distinct boards (ats, token, company) that the postings' urls belong to; the company of the first posting by `ord` that has one of
+    a board."""
+    b = urls.board(F.col("url"))
+    found = postings.select(b.alias("b"), "company", "ord").where("b IS NOT NULL")
+    return found.groupBy("b.ats", "b.token").agg(F.min_by(F.struct("company"), "ord")["company"].alias("company"))
+
+
 #: A row of each sample format as SQL over part, and what it must come to.
 _SAMPLES = {
     "greenhouse": ("named_struct('jobs', collect_list(named_struct('id', p_partkey, 'title', p_name, 'absolute_url', u, 'location', named_struct('name', p_brand))))", "p_brand", "u"),
@@ -142,15 +160,41 @@ _SAMPLES = {
     "breezy": ("collect_list(named_struct('_id', cast(p_partkey as string), 'name', p_name, 'location', named_struct('city', p_brand, 'country', named_struct('name', 'Spain'))))", "p_brand || ', Spain'", "'https://' || token || '.breezy.hr/p/' || p_partkey"),
     "rippling": ("collect_list(named_struct('id', cast(p_partkey as string), 'name', p_name, 'url', u, 'workLocation', named_struct('label', p_brand)))", "p_brand", "u"),
     "workday": ("named_struct('total', 1, 'jobPostings', collect_list(named_struct('title', p_name, 'externalPath', '/job/' || cast(p_partkey as string), 'locationsText', p_brand, 'bulletFields', array(cast(p_partkey as string)))))", "p_brand", "'https://' || token || '.wd1.myworkdayjobs.com//job/' || p_partkey"),
+    "ashby": ("named_struct('jobs', collect_list(named_struct('id', k, 'title', p_name, 'location', p_brand, 'secondaryLocations', array(named_struct('location', 'Rome')), 'applyUrl', u)))", "p_brand || ', Rome'", "u"),
+    "workable": ("named_struct('jobs', collect_list(named_struct('title', p_name, 'shortcode', k, 'url', '', 'location', named_struct('city', p_brand, 'country', 'US'))))", "p_brand || ', US'", "'https://apply.workable.com/' || token || '/j/' || p_partkey || '/'"),
+    "personio": ("'<workzag-jobs>' || array_join(collect_list('<position><id>' || k || '</id><office>' || p_brand || '</office><name>' || p_name || '</name></position>'), '') || '</workzag-jobs>'", "p_brand", "'https://' || token || '.jobs.personio.de/job/' || p_partkey", "text"),
+    "pinpoint": ("named_struct('data', collect_list(named_struct('id', k, 'title', p_name, 'url', u, 'location', named_struct('city', 'Bern', 'name', p_brand, 'province', 'Bern'))))", "p_brand || ', Bern'", "u"),
+    "comeet": ("'<script>COMPANY_POSITIONS_DATA = ' || to_json(collect_list(named_struct('uid', k, 'name', p_name, 'location', named_struct('name', p_brand), 'url_active_page', u))) || ';</script>'", "p_brand", "u", "text"),
+    "dover": ("named_struct('results', collect_list(named_struct('id', k, 'title', p_name, 'locations', array(named_struct('name', p_brand)))))", "p_brand", "'https://jobs.dover.com/companies/' || token"),
+    "gem": ("named_struct('jobs', collect_list(named_struct('id', k, 'title', p_name, 'location', p_brand)))", "p_brand", "'https://jobs.gem.com/' || token || '/' || p_partkey"),
+    "oracle_cloud": ("named_struct('items', array(named_struct('requisitionList', collect_list(named_struct('Id', k, 'Title', p_name, 'PrimaryLocation', p_brand)))))", "p_brand", "'https://' || token || '.fa.oraclecloud.com/hcmUI/CandidateExperience/en/job/' || p_partkey"),
+    "ultipro": ("'<x>' || array_join(collect_list('<Opportunity><Id>' || k || '</Id><Title>' || p_name || '</Title><Location>' || p_brand || '</Location><Url>' || u || '</Url></Opportunity>'), '') || '</x>'", "p_brand", "u", "text"),
+    "paylocity": ("'<script>window.pageData = ' || to_json(named_struct('Jobs', collect_list(named_struct('JobId', k, 'JobTitle', p_name, 'LocationName', p_brand)))) || ';</script>'", "p_brand", "'https://recruiting.paylocity.com/Recruiting/Jobs/Details/' || p_partkey", "text"),
+    "eightfold": ("named_struct('positions', collect_list(named_struct('id', k, 'title', p_name, 'location', p_brand)))", "p_brand", "'https://' || token || '.eightfold.ai/careers?pid=' || p_partkey"),
+    "phenom": ("named_struct('jobs', collect_list(named_struct('data', CASE WHEN p_partkey % 2 = 0 THEN named_struct('name', p_name, 'url', u, 'refNum', k, 'location', p_brand) END, 'title', CASE WHEN p_partkey % 2 = 1 THEN p_name END, 'applyUrl', CASE WHEN p_partkey % 2 = 1 THEN u END, 'jobId', CASE WHEN p_partkey % 2 = 1 THEN k END, 'cityState', CASE WHEN p_partkey % 2 = 1 THEN p_brand END)))", "p_brand", "u"),
+    "teamtailor": ("array_join(collect_list('<script type=\"application/ld+json\">' || to_json(named_struct('@type', 'JobPosting', 'title', p_name, 'url', u, 'identifier', named_struct('value', k), 'jobLocation', array(named_struct('address', named_struct('addressLocality', p_brand, 'addressCountry', 'DE'))))) || '</script>'), '')", "p_brand || ', DE'", "u", "text"),
+    "successfactors": ("array_join(collect_list('<script type=\"application/ld+json\">' || to_json(named_struct('@type', 'JobPosting', 'title', p_name, 'url', u, 'identifier', named_struct('value', k), 'jobLocation', array(named_struct('address', named_struct('addressLocality', p_brand, 'addressCountry', 'DE'))))) || '</script>'), '')", "p_brand || ', DE'", "u", "text"),
+    "taleo": ("array_join(collect_list('<script type=\"application/ld+json\">' || to_json(named_struct('@type', 'JobPosting', 'title', p_name, 'url', u, 'identifier', named_struct('value', k), 'jobLocation', array(named_struct('address', named_struct('addressLocality', p_brand, 'addressCountry', 'DE'))))) || '</script>'), '')", "p_brand || ', DE'", "u", "text"),
+    "neogov": ("array_join(collect_list('<script type=\"application/ld+json\">' || to_json(named_struct('@type', 'JobPosting', 'title', p_name, 'url', u, 'identifier', named_struct('value', k), 'jobLocation', array(named_struct('address', named_struct('addressLocality', p_brand, 'addressCountry', 'DE'))))) || '</script>'), '')", "p_brand || ', DE'", "u", "text"),
+    "jazzhr": ("array_join(collect_list('<a href=\"/apply/' || k || '\"> ' || p_name || ' </a><a href=\"/about\">x</a>'), '')", "NULL::varchar", "'/apply/' || p_partkey", "text"),
+    "jobvite": ("array_join(collect_list('<a href=\"/job/' || k || '\"> ' || p_name || ' </a><a href=\"/about\">x</a>'), '')", "NULL::varchar", "'/job/' || p_partkey", "text"),
+    "zohorecruit": ("array_join(collect_list('<a href=\"/jobs/Careers/' || k || '\"> ' || p_name || ' </a><a href=\"/about\">x</a>'), '')", "NULL::varchar", "'/jobs/Careers/' || p_partkey", "text"),
+    "adp": ("array_join(collect_list('<a href=\"/jobs/' || k || '\"> ' || p_name || ' </a><a href=\"/about\">x</a>'), '')", "NULL::varchar", "'/jobs/' || p_partkey", "text"),
+    "icims": ("array_join(collect_list('<a href=\"/jobs/' || k || '/job\"> ' || p_name || ' </a>'), '')", "NULL::varchar", "'/jobs/' || p_partkey || '/job'", "text"),
 }
 
 
 def sample_payloads(part: DataFrame, ats: str) -> DataFrame:
     """Payloads of a format made of parts, twenty to a board."""
-    p = part.selectExpr("*", "'t' || cast(cast(floor(p_partkey / 20) as int) as string) AS token", "'https://x.example/' || cast(p_partkey as string) AS u")
-    return p.groupBy("token").agg(F.to_json(F.expr(_SAMPLES[ats][0])).alias("payload")).withColumn("company", F.lit(None).cast("string"))
+    p = part.selectExpr("*", "cast(p_partkey as string) AS k", "'t' || cast(cast(floor(p_partkey / 20) as int) as string) AS token", "'https://x.example/' || cast(p_partkey as string) AS u")
+    made = F.expr(_SAMPLES[ats][0])
+    return p.groupBy("token").agg((made if _SAMPLES[ats][3:] == ("text",) else F.to_json(made)).alias("payload")).withColumn("company", F.lit(None).cast("string"))
 
 
 def sample_sql(ats: str) -> str:
-    _, place, url = _SAMPLES[ats]
-    return f"SELECT token, p_partkey::varchar AS source_job_id, trim(p_name) AS title, {place} AS location_raw, {url} AS url FROM (SELECT *, 't' || (p_partkey // 20) AS token, 'https://x.example/' || p_partkey AS u FROM part)"
+    place, url = _SAMPLES[ats][1:3]
+    rows = f"SELECT token, p_partkey::varchar AS source_job_id, trim(p_name) AS title, {place} AS location_raw, {url} AS url FROM (SELECT *, 't' || (p_partkey // 20) AS token, 'https://x.example/' || p_partkey AS u FROM part)"
+    return (
+        f"SELECT *, sha1('{ats}|' || token || '|' || source_job_id || '|' || url) AS job_uid, sha1(url) AS url_hash, token AS company, token AS company_slug, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS title_normalized,"
+        f" trim(split_part(location_raw, ',', 1)) AS city, '{ats}' AS ats, false AS is_internship, coalesce(regexp_matches(location_raw, 'Remote'), false) AS is_remote, '' AS description_text FROM ({rows})"
+    )

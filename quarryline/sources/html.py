@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -81,6 +82,17 @@ def parsed(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, text string, title string, links array<struct<href:string,text:string>>, scripts array<string>")
 
 
+def _plain(posting: dict) -> dict:
+    """A posting whose places are a list, and whose organisation and identifier are objects."""
+    out = dict(posting)
+    if isinstance(out.get("jobLocation"), dict):
+        out["jobLocation"] = [out["jobLocation"]]
+    for name, inner in (("hiringOrganization", "name"), ("identifier", "value")):
+        if isinstance(out.get(name), str | int):
+            out[name] = {inner: str(out[name])}
+    return out
+
+
 def _postings(node, depth: int = 0) -> list[dict]:
     if depth > 12:
         return []
@@ -89,7 +101,7 @@ def _postings(node, depth: int = 0) -> list[dict]:
     if isinstance(node, dict):
         kind = node.get("@type")
         if kind == "JobPosting" or isinstance(kind, list) and "JobPosting" in kind:
-            return [node]
+            return [_plain(node)]
         return [x for n in node.values() if isinstance(n, dict | list) for x in _postings(n, depth + 1)]
     return []
 
@@ -143,3 +155,141 @@ def _last_object(reply: str | None) -> str | None:
 def last_json_object(reply: pd.Series) -> pd.Series:
     """The last balanced {...} of a reply that parses to an object, null if none does."""
     return reply.map(_last_object)
+
+
+class _Node:
+    __slots__ = ("tag", "attrs", "start", "end", "children", "up")
+
+    def __init__(self, tag: str, attrs: dict, start: int, up):
+        self.tag, self.attrs, self.start, self.end, self.children, self.up = tag, attrs, start, start, [], up
+
+
+class _Tree(HTMLParser):
+    """Elements of a page with their place in the markup; an element left open ends where the one around it does."""
+
+    def __init__(self, markup: str):
+        super().__init__(convert_charrefs=True)
+        self.markup, self.lines = markup, [0]
+        for i, c in enumerate(markup):
+            if c == "\n":
+                self.lines.append(i + 1)
+        self.root = self.now = _Node("", {}, 0, None)
+        self.feed(markup)
+        self.close()
+        while self.now is not self.root:
+            self.now.end, self.now = len(markup), self.now.up
+        self.root.end = len(markup)
+
+    def at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "li" and self.now.tag == "li":
+            self.handle_endtag("li")
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at(), self.now)
+        self.now.children.append(node)
+        node.end = self.at() + len(self.get_starttag_text() or "")
+        if tag not in _VOID:
+            self.now = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        found = self.now
+        while found is not self.root and found.tag != tag:
+            found = found.up
+        if found is self.root:
+            return
+        end = self.markup.find(">", self.at()) + 1 or len(self.markup)
+        while self.now is not found:
+            self.now.end, self.now = self.at(), self.now.up
+        found.end, self.now = end, found.up
+
+    def handle_data(self, data):
+        if self.now.tag not in ("script", "style"):
+            self.now.children.append(data)
+
+
+_COMPOUND = re.compile(r"""(?P<tag>[a-z][a-z0-9]*)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)["']?(?P<value>[^"'\]]*)["']?)?\]""", re.I)
+
+
+def _fits(node: _Node, compound: str) -> bool:
+    for m in _COMPOUND.finditer(compound):
+        if m["tag"] and node.tag != m["tag"].lower():
+            return False
+        if m["cls"] and m["cls"] not in node.attrs.get("class", "").split():
+            return False
+        if m["attr"]:
+            held = node.attrs.get(m["attr"].lower())
+            if held is None or m["op"] == "=" and held != m["value"] or m["op"] == "*=" and m["value"] not in held:
+                return False
+    return True
+
+
+def _chosen(node: _Node, selector: str):
+    """Elements below a node that a selector fits, in order: alternatives by commas, compounds of tag, .class and [attr], [attr=x],
+    [attr*=x], and descendants by spaces."""
+    chains = [part.split() for part in re.findall(r"(?:[^,\[]|\[[^\]]*\])+", selector)]
+    stack = [x for x in reversed(node.children) if isinstance(x, _Node)]
+    while stack:
+        own = stack.pop()
+        for chain in chains:
+            if _fits(own, chain[-1]):
+                up, left = own.up, list(chain[:-1])
+                while left and up is not None and up is not node:
+                    if _fits(up, left[-1]):
+                        left.pop()
+                    up = up.up
+                if not left:
+                    yield own
+                    break
+        stack += [x for x in reversed(own.children) if isinstance(x, _Node)]
+
+
+def _strings(node: _Node) -> list[str]:
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        own = stack.pop()
+        if isinstance(own, str):
+            if own.strip():
+                out.append(own.strip())
+        else:
+            stack += reversed(own.children)
+    return out
+
+
+def cards(markup: str | None, card: str, fields: dict[str, tuple[list[str], str]]) -> list[dict[str, str]]:
+    """A dict for each element that `card` selects. A field is (selectors, tried in order; "" is the card itself; what: text, spaced text,
+    markup or @attribute); one that isn't found is left out."""
+    tree = _Tree(markup or "")
+    out = []
+    for own in _chosen(tree.root, card):
+        row = {}
+        for name, (selectors, what) in fields.items():
+            node = next((n for s in selectors for n in ([own] if not s else _chosen(own, s))), None)
+            if node is None:
+                continue
+            if what.startswith("@"):
+                value = node.attrs.get(what[1:])
+            elif what == "markup":
+                value = tree.markup[node.start : node.end]
+            else:
+                value = (" " if what == "spaced" else "").join(_strings(node))
+            if value is not None:
+                row[name] = value
+        out.append(row)
+    return out
+
+
+def card_rows(card: str, fields: dict[str, tuple[list[str], str]]):
+    """A function from a column of markup to ARRAY<MAP<STRING, STRING>>: cards() of each page."""
+
+    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    def rows(markup: pd.Series) -> pd.Series:
+        return markup.map(lambda x: cards(x, card, fields))
+
+    return rows
