@@ -2,20 +2,23 @@
 
 Signature: the multiset of five-word shingles has integer weights, discretised into the intervals [0,1), [1,2), [2,4), [4,8) ... A
 Poisson process of the signature's size a unit of weight runs over each interval of a shingle, seeded by the shingle and interval
-alone; every point has a time, a slot and a unit of weight. In an interval that a weight cuts, points at units beyond it are thinned
-out bit by bit, as halving the interval over and over would do. A slot keeps its least time. Two signatures agree in a slot with
-the weighted Jaccard similarity as probability. Points are made up to a time that fills the slots of most texts; others go on.
+alone. Only its first point is drawn; then it splits at its interval's middle: a coin gives that point to one half, and the other half
+draws its own from there on. Halves beyond the weight and halves whose first point is later than the limit go no further, down to
+units of weight, whose points have a slot each. A slot keeps its least time. Two signatures agree in a slot with the weighted Jaccard
+similarity as probability. The limit is a time that fills the slots of most texts; it is doubled for the others.
 
 Candidates: texts are collapsed by SHA-256 first. Bands of the signature are hashed into buckets. In each bucket, leaders are compared
-with all members; leaders are then done in that bucket, and a bucket is done once its members left are of one class. The number of
-leaders grows fourfold a round, so all pairs of different classes are compared in the end, yet a large group of near copies costs a
-few comparisons a member. Nothing is capped.
+with all members; leaders are then done in that bucket, and a bucket is done once those left are of one class. The number of leaders
+grows from round to round, so all pairs of different classes are compared in the end, yet a large group of near copies costs a few
+comparisons a member. Nothing is capped.
 
 Before the second round, shingles that no other open text has are set aside: what is left of a text bounds its overlap with any
-other, which proves most texts of a loose group without link and leaves few to compare. Nothing is lost by it.
+other, which proves most texts of a loose group without link and leaves few to compare. Before the third, the shingles that no text
+of the largest class in its bucket has bound each other text's overlap with that class in the same way. Nothing is lost by either.
 
-Verification: sum of least counts over sum of greatest counts of the shingles, `least` or more. Classes: contraction of links to the
-least neighbour, in rounds over written tables.
+Verification: sum of least counts over sum of greatest counts of the shingles, `least` or more; shingles are told apart by 64 bits.
+Classes: links are contracted to the least neighbour, in rounds over written tables. After the first round texts only go with their
+neighbours' least neighbours; the links of the third round and after, few by then, join classes in the end.
 
 Defined results: a text of one to four words has one shingle, all its words; texts without words are alike only if they are equal;
 a null text counts as empty; repeated rows and equal texts are of one class; class_id is the class's least document id (null only if
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarryline.llm import _shared, _text
 
@@ -81,29 +84,52 @@ def bag_min_hash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, siz
         low *= 2
         on = on[weight[on] > low]
     row, h, weight, low = map(np.concatenate, (parts_row, parts_h, parts_w, parts_low))
-    length = np.maximum(low, 1)
-    seed = _text.mix(h ^ (low.astype(np.uint64) * _GOLD + _U(1)))
     while len(todo):
         active = np.zeros(n, bool)
         active[todo] = True
         own = np.flatnonzero(active[row])
-        time, step, rate, limit = np.zeros(len(own)), 0, size * length[own], until[row[own]]
+        own, time, seed = _first_points(own, h, weight, low, until[row], size)
+        step, limit = 0, until[row[own]]
         while len(own):
-            s = seed[own] + _U(step * 0x9E3779B97F4A7C15 % (1 << 64))
-            time = time - np.log(_uniform(_text.mix(s))) / rate
-            alive = time <= limit
-            own, time, rate, limit, s = own[alive], time[alive], rate[alive], limit[alive], s[alive]
-            place = _text.mix(s ^ _U(0xD1B54A32D192ED03))
-            slot = (place >> _U(32)) * _U(size) >> _U(32)
-            unit = low[own] + (place & _U(0xFFFFFFFF)).astype(np.int64) * length[own] // (1 << 32)
-            inside = unit < weight[own]
-            np.minimum.at(out, row[own][inside] * size + slot[inside].astype(np.int64), time[inside])
+            s = seed + _U(step * 0x9E3779B97F4A7C15 % (1 << 64))
+            if step:
+                time = time - np.log(_uniform(_text.mix(s))) / size
+                alive = time <= limit
+                own, time, seed, limit, s = own[alive], time[alive], seed[alive], limit[alive], s[alive]
+            slot = (_text.mix(s ^ _U(0xD1B54A32D192ED03)) >> _U(32)) * _U(size) >> _U(32)
+            np.minimum.at(out, row[own] * size + slot.astype(np.int64), time)
             step += 1
         todo = todo[np.isinf(out.reshape(n, size)[todo]).any(1)]
         until[todo] *= 2
     return out.reshape(n, size)
 
 
+def _first_points(own: np.ndarray, h: np.ndarray, weight: np.ndarray, low: np.ndarray, until: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(process, first time, seed) of every unit of weight whose first point comes by its limit, found by halving the intervals [low, 2 low)."""
+    at, length = low[own], np.maximum(low[own], 1)
+    seed = _interval(h[own], at, length)
+    time = -np.log(_uniform(_text.mix(seed))) / (size * length)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(own):
+        go = (time <= until[own]) & (at < weight[own])
+        own, at, length, time, seed = own[go], at[go], length[go], time[go], seed[go]
+        unit = length == 1
+        done.append((own[unit], time[unit], seed[unit]))
+        own, at, half, time, seed = own[~unit], at[~unit], length[~unit] // 2, time[~unit], seed[~unit]
+        coin = _text.mix(seed ^ _U(0xA0761D6478BD642F))
+        first = (coin & _U(1)).astype(np.int64)  # the half that has the point
+        later = time - np.log(_uniform(_text.mix(coin))) / (size * half)
+        own, half = np.concatenate([own, own]), np.concatenate([half, half])
+        at = np.concatenate([at, at]) + np.concatenate([first, 1 - first]) * half
+        time, length = np.concatenate([time, later]), half
+        seed = _interval(h[own], at, length)
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (own, time, seed)
+
+
+def _interval(h: np.ndarray, low: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return _text.mix(h ^ _text.mix(low.astype(np.uint64) * _GOLD + length.astype(np.uint64)))
+
+
 def bands(signature: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A 64-bit hash of each band of each signature."""
     bits = np.ascontiguousarray(signature[:, : count * rows]).view(np.uint64).reshape(len(signature), count, rows)
@@ -114,24 +140,26 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def signatures(docs: DataFrame, words: int = WORDS, count: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, node (128 bits of the text's SHA-256) and bands (null for a text without words)."""
+    """A row for each document: id, node (128 bits of the text's SHA-256), total (number of shingles) and bands (none for a text without words)."""
     size = count * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _text.slices(batches, "text", 2 << 20):
             data, offs = _text.utf8(b.column(1))
             n = len(offs) - 1
-            signature = bag_min_hash(*shingles(data, offs, words), n, size)
+            row, h, weight = shingles(data, offs, words)
+            signature = bag_min_hash(row, h, weight, n, size)
+            total = np.bincount(row, weight, minlength=n).astype(np.int64)
             none = np.isinf(signature[:, 0])
             keys = bands(signature, count, rows).view(np.int64)
             raw = data.tobytes()
             node = pa.array([hashlib.sha256(raw[offs[i] : offs[i + 1]]).digest()[:16] for i in range(n)], pa.binary())
             ends = np.concatenate([[0], np.cumsum(np.where(none, 0, count))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[~none].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), node, lists], ["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(total), lists], ["id", "node", "total", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node binary, total long, bands array<long>")
 
 
 def similarities(pairs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -175,26 +203,44 @@ def shingle_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def linkable(members: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """members (bucket, node, label) with total and common, those that can't link in their bucket left out. common is the weight of
-    a text's shingles that some other member has too; the overlap of a pair is at most the lesser common, so a pair needs
-    common >= share * (total + other total), and a member alone needs it with the least total of its bucket. Exact: no link is lost."""
+    """members with common, those that can't link in their bucket left out. common is the weight of a text's shingles that some other member
+    has too; the overlap of a pair is at most the lesser common, so a pair needs common >= share * (total + other total), and a member
+    alone needs it with the least total of its bucket. Exact: no link is lost."""
     single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("count").alias("count")).where("n = 1").groupBy("node").agg(F.sum("count").alias("single"))
-    totals = rows.groupBy("node").agg(F.sum("count").alias("total")).join(single, "node", "left").select("node", "total", (F.col("total") - F.coalesce("single", F.lit(0))).alias("common"))
-    both = _shared.written(members.join(totals, "node"), "weighed")
+    both = _shared.written(members.join(single, "node", "left").withColumn("common", F.col("total") - F.coalesce("single", F.lit(0))).drop("single"), "weighed")
     smallest = both.groupBy("bucket").agg(F.min("total").alias("smallest"))
-    return both.join(smallest, "bucket").where(F.col("common") >= least / (1 + least) * (F.col("total") + F.col("smallest")) - 1e-6).select("bucket", "node", "label", "total", "common")
+    return both.join(smallest, "bucket").where(F.col("common") >= least / (1 + least) * (F.col("total") + F.col("smallest")) - 1e-6).drop("smallest")
+
 
+def shared_with(members: DataFrame, text: DataFrame, words: int = WORDS) -> DataFrame:
+    """members (bucket, node, label, total ...) of buckets with more than one class, with inside, whether they are of the class in their
+    bucket that is the largest of all buckets, and in_main: total less the weight of a text's shingles that no text of that class has. A
+    pair of which one is inside needs in_main >= share * (total + other total) of the other. Exact, as linkable is; inside doesn't change
+    when classes grow later, so the bound holds on.
 
-def shared_with(members: DataFrame, rows: DataFrame, label: bytes) -> DataFrame:
-    """members with inside, whether they are of the class `label` now, and in_main: the weight of a text's shingles that some text inside
-    has, for those inside their total. A pair of which one is inside needs in_main >= share * (total + other total) of the other.
-    Exact, as linkable is; inside doesn't change when classes grow later, so the bound holds on."""
-    inside = F.col("label") == F.lit(label)
-    nodes = members.select("node", inside.alias("inside")).distinct()
-    known = rows.join(nodes, "node")
-    main = known.where("inside").select("shingle").distinct()
-    weight = known.where("NOT inside").join(main, "shingle").groupBy("node").agg(F.sum("count").alias("weight"))
-    return members.join(weight, "node", "left").withColumns({"inside": inside, "in_main": F.when(inside, F.col("total")).otherwise(F.coalesce("weight", F.lit(0)))}).drop("weight")
+    Texts take their classes along before they are cut into shingles, and a join gives only the shingles that a class lacks."""
+    members = _shared.written(members, "members")
+    sizes = members.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("n"))
+    great = members.select("bucket", "label").distinct().join(sizes, "label").groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
+    members = _shared.written(members.join(great, "bucket"), "members")
+    inside = F.col("label") == F.col("main")
+    who = members.select("node", "main", inside.alias("inside")).distinct()
+    rows = _shared.written(class_shingles(text.join(who, "node"), words), "class-shingles")
+    held = rows.where("inside").select("main", "shingle").distinct()
+    lacks = rows.where("NOT inside").join(held, ["main", "shingle"], "left_anti").groupBy("node", "main").agg(F.sum("count").alias("lacks"))
+    return members.withColumn("inside", inside).join(lacks, ["node", "main"], "left").withColumn("in_main", F.col("total") - F.when(F.col("inside"), 0).otherwise(F.coalesce("lacks", F.lit(0)))).drop("lacks", "main")
+
+
+def class_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """From (node, main, inside, text): a row (node, main, inside, shingle, count) for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.slices(batches, "text", 1 << 20):
+            row, h, n = shingles(*_text.utf8(b.column(3)), words)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(h.view(np.int64)), pa.array(n)], ["node", "main", "inside", "shingle", "count"])
+
+    return texts.select("node", "main", "inside", "text").mapInArrow(run, "node binary, main binary, inside boolean, shingle long, count long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,76 +259,85 @@ def components(links: DataFrame) -> DataFrame:
     return _shared.written(labels, "labels")
 
 
+def nearby(links: DataFrame) -> DataFrame:
+    """(node, label): each node's least neighbour's least neighbour, itself counted as one: nodes of one label are of one component."""
+    both = links.union(links.select("b", "a"))
+    one = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("p"))
+    return one.join(one.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select(F.col("v").alias("node"), F.col("q").alias("label"))
+
+
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels after further links: only the classes that the links touch are contracted anew."""
-    known = labels.select(F.col("node"), F.col("label"))
-    by = links.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    by = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     more = components(by.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    moved = known.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return _shared.written(moved.union(more.join(known.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    moved = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return _shared.written(moved.union(more.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
 
 
 def linked(docs: DataFrame, known: DataFrame, least: float = LEAST, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, label) for the texts that are near copies of others. known: signatures(docs), written."""
-    texts = known.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    keys = _shared.written(texts.where(F.size("bands") > 0).select("node", "id", F.explode("bands").alias("bucket")), "band-keys")
+    texts = known.groupBy("node").agg(F.min("id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    keys = _shared.written(texts.where(F.size("bands") > 0).select("node", "id", "total", F.explode("bands").alias("bucket")), "band-keys")
     crowded = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    open_ = _shared.written(keys.join(crowded, "bucket").select("bucket", "node", "id"), "buckets")
-    own = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"), F.expr(f"substring(unhex(sha2(coalesce(`{text_col}`, ''), 256)), 1, 16)").alias("n"))
-    wanted = open_.select("node", "id").distinct()
-    text = own.join(wanted, (F.col("n") == F.col("node")) & F.col("d").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
+    open_ = _shared.written(keys.join(crowded, "bucket").groupBy("node").agg(F.min("id").alias("id"), F.first("total").alias("total"), F.collect_set("bucket").alias("own")), "open")
+    digests = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"), F.expr(f"substring(unhex(sha2(coalesce(`{text_col}`, ''), 256)), 1, 16)").alias("n"))
+    text = digests.join(open_.select("node", "id"), (F.col("n") == F.col("node")) & F.col("d").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"])
     text = _shared.written(text, "candidate-texts")
-    members = open_.select("bucket", "node").withColumn("label", F.col("node"))
-    checked, labels, leaders, turn = None, None, 1, 0
+    # inside: of the bucket's large class; common and in_main: what a text can share at most, see linkable and shared_with
+    members = open_.select(F.explode("own").alias("bucket"), "node", "own", "total", F.col("node").alias("label"), F.col("total").alias("common"), F.lit(False).alias("inside"), F.col("total").alias("in_main"))
+    share = least / (1 + least)
+    links, later, labels, leaders, turn = None, None, None, 1, 0
     while True:
-        # leaders: the text that shares most of itself in each of `leaders` parts of a bucket: of the whole bucket in the second round,
-        # then of other classes than its largest; in the first round, where that share isn't known, the least node
-        if turn:
+        if turn == 1:
             members = _shared.written(_of_many_classes(members), "members")
             if members.isEmpty():
                 break
-            if turn == 1:
-                rows = _shared.written(shingle_rows(text.join(members.select("node").distinct(), "node"), words), "shingles")
-                members = _of_many_classes(_shared.written(linkable(members.drop("main"), rows, least), "members")).withColumns({"inside": F.lit(False), "in_main": F.col("total")})
-            elif turn == 2:
-                largest = members.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()["label"]
-                members = _shared.written(shared_with(members, rows, bytes(largest)), "members")
-            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-            heads = (members if turn == 1 else members.where("label <> main")).groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "label", "total", "common", "inside", "in_main"), F.struct(F.col("common") / F.col("total"), "node")).alias("head"))
-            # a pair that meets in several buckets is made in the least of them that it has this round; a text has as many as bands at most
-            members = members.drop("main").join(members.groupBy("node").agg(F.collect_set("bucket").alias("own")), "node")
-            # what both can share at most
-            across = F.col("inside") != F.col("head_inside")
-            most = F.least("common", "head_common", F.when(across, F.least("in_main", "head_in_main")))
-            can = most >= least / (1 + least) * (F.col("total") + F.col("head_total")) - 1e-6
-            heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.total").alias("head_total"), F.col("head.common").alias("head_common"), F.col("head.inside").alias("head_inside"), F.col("head.in_main").alias("head_in_main"))
-            heads = heads.join(heads.groupBy("head").agg(F.collect_set("bucket").alias("head_own")), "head")
-            can = can & (F.col("head_bucket") == F.array_min(F.array_intersect("own", "head_own")))
-        else:
-            can = F.lit(True)
-            heads = members.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("head")).select("bucket", F.col("head.node").alias("head"), F.col("head.label").alias("head_label"))
-        heads = _shared.written(heads, "heads")
-        met = members.join(heads.withColumnRenamed("bucket", "head_bucket"), (members["bucket"] == F.col("head_bucket")) & (F.col("label") != F.col("head_label")) & can)
-        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+            rows = _shared.written(shingle_rows(text.join(members.select("node").distinct(), "node"), words), "shingles")
+            members = linkable(members.drop("common"), rows, least)
+        elif turn == 2:
+            members = shared_with(members.drop("inside", "in_main"), text, words)
+        members = _shared.written(members, "members")
+        # leaders: the texts of a bucket that share most of themselves, the least ones where that isn't known yet; from the third round on
+        # of those outside its large class, so a bucket is done when all of them have led
+        order = [F.asc("node")] if turn == 0 else [F.desc(F.col("common") / F.col("total")), F.asc("node")]
+        heads = first_of_each(members.where("NOT inside"), order, leaders)
+        heads = _shared.written(heads.select("bucket", F.col("node").alias("head"), *(F.col(x).alias(f"head_{x}") for x in ("own", "label", "total", "common", "inside", "in_main"))), "heads")
+        if heads.isEmpty():
+            break
+        flagged = _shared.written(members.join(heads.select("bucket", F.col("head").alias("node"), F.lit(True).alias("leads")), ["bucket", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "flagged")
+        # what both can share at most
+        most = F.least("common", "head_common", F.when(F.col("inside") != F.col("head_inside"), F.least("in_main", "head_in_main")))
+        can = most >= share * (F.col("total") + F.col("head_total")) - 1e-6
+        # a pair is made in the least of its buckets, once: when the first of both leads there. A text that has left that bucket has met the
+        # others there, or can't link with any, or is of their class
+        once = (F.col("bucket") == F.array_min(F.array_intersect("own", "head_own"))) & (~F.col("leads") | (F.col("node") < F.col("head")))
+        met = flagged.join(heads.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("head_label")) & can & once)
+        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
         with_texts = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = _shared.written(similarities(with_texts, words), "similarities")
-        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
-        now = found.where(F.col("similarity") >= least).select("a", "b")
-        labels = components(now) if labels is None else joined_components(labels, now)
-        # leaders have met all others of their bucket: they leave it
-        left = members.drop("label", "own").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
-        members = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        turn, leaders = turn + 1, leaders * 4
-    return labels
+        now = _shared.written(similarities(with_texts, words).where(F.col("similarity") >= least).select("a", "b"), "links")
+        links = now if links is None else links.union(now)
+        members = flagged.where("NOT leads").drop("leads")
+        if turn < 2:
+            labels = _shared.written(nearby(links), "nearby") if turn == 0 else components(links)
+            members = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        else:  # these are few; they join classes in the end
+            later = now if later is None else later.union(now)
+        turn, leaders = turn + 1, leaders * (4 if turn < 2 else 16)
+    if turn < 2:
+        return components(links if links is not None else open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    return labels if later is None else joined_components(labels, later)
+
+
+def first_of_each(members: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n members of each bucket; each task cuts its own before the shuffle."""
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+    return ranked.where(F.col("rank") <= n).drop("rank")
 
 
 def _of_many_classes(members: DataFrame) -> DataFrame:
-    """Members of buckets with more than one class, with the label of the bucket's largest as main."""
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
-    return members.join(main, "bucket")
+    """Members of buckets with more than one class."""
+    many = members.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("bucket")
+    return members.join(many, "bucket")
 
 
 def classes(docs: DataFrame, least: float = LEAST, words: int = WORDS, count: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
