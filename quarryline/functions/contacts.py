@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from quarryline.functions.text import strip
@@ -18,9 +20,17 @@ ROLE_ACCOUNTS = ["info", "support", "admin", "sales", "contact", "no-reply", "no
 RECRUITING_ALIASES = ["careers", "jobs", "recruiting", "recruitment", "talent", "university", "universityrecruiting", "campus", "internships", "hr", "people", "hello"]
 GENERIC_DOMAINS = ["gmail.com", "yahoo.com", "ymail.com", "outlook.com", "hotmail.com", "aol.com", "proton.me", "protonmail.com", "icloud.com", "me.com", "mac.com", "live.com", "msn.com", "gmx.com", "mail.com", "hey.com", "comcast.net", "verizon.net", "sbcglobal.net", "att.net"]
 SENTINELS = ["", "na", "n/a", "n.a.", "none", "null", "nan", "#n/a", "(blank)", "-"]
-#: Accented Latin letters and what they come to without marks, pair by pair.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_BARE = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _marked() -> tuple[str, str]:
+    """Lower-case letters with marks below U+2000, and what canonical decomposition leaves of them without the marks."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c and c == c.lower():
+            pairs.append((c, bare))
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+_MARKED, _BARE = _marked()
 
 
 def looked_up(c: Column, table: dict, default=None) -> Column:
@@ -41,7 +51,7 @@ def split_name(name: Column) -> Column:
 
 
 def name_token(c: Column) -> Column:
-    """Letters and digits, lower case, without marks on Latin letters."""
+    """Letters and digits, lower case, without marks on letters of any alphabet."""
     return F.regexp_replace(F.translate(F.lower(c), _MARKED, _BARE), r"[^\p{L}\p{N}]", "")
 
 

@@ -167,6 +167,12 @@ def nearest_seed(candidates: DataFrame, seeds: DataFrame, key: str, vector: str,
     return best.groupBy("k").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "k").limit(n).select(F.col("k").alias(key), "similarity")
 
 
+def similar_companies(vectors: DataFrame, tracked: DataFrame, hiring: DataFrame, n: int, key: str = "company_slug", vector: str = "vector") -> DataFrame:
+    """The n companies that hire and aren't tracked, closest to any tracked one: (key, similarity). tracked and hiring have the key."""
+    own = vectors.join(hiring.select(key).distinct(), key, "left_semi").join(tracked.select(key).distinct(), key, "left_anti")
+    return nearest_seed(own, vectors.join(tracked.select(key).distinct(), key, "left_semi"), key, vector, n)
+
+
 def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 10_000) -> DataFrame:
     """(query, key, similarity, place): for each query the k most similar of all rows but itself, ties by key. Any number of queries: a block
     of them at a time goes to all workers as one matrix; each batch of rows keeps its own k best of each query."""

@@ -202,6 +202,12 @@ def cold_draft(role: Column, company: Column, d: Column, proof: str = "recent sh
     return F.when(d.isNotNull(), F.concat_ws("\n", F.concat(F.lit("Hi "), F.coalesce(person, F.concat(firm, F.lit(" team"))), F.lit(" — I just applied to your "), role, F.lit(" opening"), news, F.lit(".")), second, F.lit(f"Proof over promises: {{{{proof_link}}}} ({proof})."), F.lit("If it'd be useful I'd love 15 minutes — or I can send a one-page plan for what I'd ship in my first month.")))
 
 
+def pending(applications: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Applications without a dossier, with the domain of their posting's company (null: no such posting)."""
+    own = jobs.groupBy("job_uid").agg(F.min("company_domain").alias("company_domain"))
+    return applications.where("dossier_slug IS NULL").join(own, "job_uid", "left")
+
+
 def enriched(applications: DataFrame, dossiers: DataFrame, hits: DataFrame, proof: str = "recent shipped work") -> DataFrame:
     """Pending applications (dossier_slug null) filled from their dossiers; nothing a user wrote is overwritten. hits: id and dossier_slug,
     as relational.cascade finds them. Rows without a dossier stay pending."""

@@ -72,7 +72,8 @@ def board_health(boards: DataFrame, polls: DataFrame, retire_at: int = 6) -> Dat
     both = boards.withColumn("_known", F.lit(True)).join(counted, ["ats", "token"], "full")
     failures = F.when(F.col("fails").isNull(), F.col("consecutive_failures")).when(F.col("healed"), F.col("fails")).otherwise(F.coalesce("consecutive_failures", F.lit(0)) + F.col("fails"))
     return both.select(
-        "ats", "token", (F.coalesce("total_jobs_seen", F.lit(0)) + F.coalesce("seen", F.lit(0))).alias("total_jobs_seen"), failures.alias("consecutive_failures"),
+        "ats", "token", (F.coalesce("total_jobs_seen", F.lit(0)) + F.coalesce("seen", F.lit(0))).cast(boards.schema["total_jobs_seen"].dataType).alias("total_jobs_seen"),
+        failures.cast(boards.schema["consecutive_failures"].dataType).alias("consecutive_failures"),
         F.coalesce("active", "last_active").alias("last_active"), F.when(failures >= retire_at, "retired").otherwise(F.coalesce("status", F.lit("active"))).alias("status"),
     )
 

@@ -127,9 +127,9 @@ def _(spark, d):
     return boards.found(table(spark, d, "orders").selectExpr(f"{url} AS url", "o_orderkey AS ord"), workday_sites=True).select("ats", "token")
 
 
-@QUERIES("q_boards_hackernews", f"WITH RECURSIVE t AS (SELECT o_orderkey AS id, o_custkey % 40 AS c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey // 3 END AS parent, {_URL} AS u, o_orderkey % 4 AS s FROM orders), w AS (SELECT id, c, s FROM t WHERE parent IS NULL AND id % 2 = 0 UNION ALL SELECT t.id, t.c, t.s FROM t JOIN w ON t.parent = w.id) " + _FOUND.format("SELECT c, s FROM w"))
+@QUERIES("q_boards_hackernews", f"WITH RECURSIVE t AS (SELECT o_orderkey AS id, o_custkey % 40 AS c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey // 30 END AS parent, {_URL} AS u, o_orderkey % 4 AS s FROM orders), w AS (SELECT id, c, s FROM t WHERE parent IS NULL AND id % 2 = 0 UNION ALL SELECT t.id, t.c, t.s FROM t JOIN w ON t.parent = w.id) " + _FOUND.format("SELECT c, s FROM w"))
 def _(spark, d):
-    o = spark.sql(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE cast(floor(o_orderkey / 3) AS bigint) END AS parent, 'we hire: ' || replace({_URL}, '/', '&#x2F;') || ', come' AS body FROM {{orders}}", orders=table(spark, d, "orders"))
+    o = spark.sql(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE cast(floor(o_orderkey / 30) AS bigint) END AS parent, 'we hire: ' || replace({_URL}, '/', '&#x2F;') || ', come' AS body FROM {{orders}}", orders=table(spark, d, "orders"))
     return boards.found(boards.comment_links(o, F.expr("parent IS NULL AND id % 2 = 0"))).select("ats", "token")
 
 

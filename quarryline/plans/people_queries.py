@@ -391,3 +391,24 @@ def _(spark, d):
 def _(spark, d):
     u = table(spark, d, "supplier").selectExpr("s_suppkey", "lpad(cast(s_suppkey AS string), 9, '0') AS url", "cast(s_suppkey % 3 AS string) AS host")
     return settings.polite_schedule(u, 2, 1.5).select(F.col("url").cast("long").alias("s_suppkey"), F.col("starts").cast("double").alias("starts"))
+
+
+@QUERIES("q_similar_companies", "SELECT b.vec_id, round(max(list_cosine_similarity(b.embedding::double[], a.embedding::double[])), 6) AS similarity FROM embeddings b, embeddings a WHERE b.vec_id % 2 = 0 AND b.vec_id % 37 > 0 AND a.vec_id % 37 = 0 GROUP BY 1 ORDER BY max(list_cosine_similarity(b.embedding::double[], a.embedding::double[])) DESC, 1 LIMIT 30")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    out = dedup.similar_companies(e, e.where("vec_id % 37 = 0"), e.where("vec_id % 2 = 0"), 30, "vec_id", "embedding")
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@QUERIES("q_pending_applications", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'd' || id || '.com' END AS company_domain FROM ({_ROWS}) WHERE id % 3 > 0")
+def _(spark, d):
+    rows = tracked(spark, d).withColumn("dossier_slug", F.expr("CASE WHEN id % 3 = 0 THEN 'x' END"))
+    jobs = rows.where("id % 4 = 0").selectExpr("job_uid", "'d' || cast(id AS string) || '.com' AS company_domain")
+    return dossier.pending(rows, jobs).select("id", "company_domain")
+
+
+@QUERIES("q_collapse_semantic", "WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4), r AS (SELECT vec_id AS node, vec_id AS label FROM embeddings UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node), g AS (SELECT node, min(label) AS label FROM r GROUP BY 1) SELECT arg_min(node, (CASE WHEN node % 2 = 0 THEN 0 ELSE 1 END, -node)) AS ord, arg_min(node % 3, (CASE WHEN node % 2 = 0 THEN 0 ELSE 1 END, -node)) + count(*) - 1 AS times_seen_elsewhere FROM g GROUP BY label")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    jobs = e.selectExpr("vec_id AS ord", "CASE WHEN vec_id % 2 = 0 THEN 'lever' ELSE 'listing' END AS ats", "-vec_id AS posted", "0 AS first_seen", "vec_id % 3 AS times_seen_elsewhere")
+    return dedup.collapse_semantic(jobs, e.selectExpr("vec_id AS ord", "label AS company_slug", "embedding AS vector"), 0.4)

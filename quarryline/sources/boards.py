@@ -65,12 +65,13 @@ def search_results(answers: DataFrame) -> DataFrame:
 
 
 def comment_links(comments: DataFrame, root: Column, depth: int = 100) -> DataFrame:
-    """(ord, url): the urls in the texts of a thread and of all answers below it. comments: id, parent, body. Each round takes one level
-    of answers; a level without any ends it."""
-    level = comments.where(root).select("id")
+    """(ord, url): the urls in the texts of a thread and of all answers below it, down to `depth`. comments: id, parent (one), body. Each
+    round takes one level of answers; a level without any ends it."""
+    answers = comments.select("id", "parent")
+    level = graph.cut(comments.where(root).select("id"))
     seen = level
     for _ in range(depth):
-        level = graph.cut(comments.select("id", "parent").join(level.select(F.col("id").alias("parent")), "parent").select("id").join(seen, "id", "left_anti"))
+        level = graph.cut(answers.join(level.select(F.col("id").alias("parent")), "parent").select("id"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

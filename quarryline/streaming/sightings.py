@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -21,11 +22,12 @@ def sightings(polls: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     count, back, last, fingerprint = state.get if state.exists else (0, 0, None, None)
-    for row in pd.concat(batches).sort_values(["ts", "ord"]).itertuples():
-        at = int(row.ts.value // 1000)
-        if last is not None and (at - last) // 86_400_000_000 >= GAP_DAYS and fingerprint == row.fingerprint:
-            back += 1
-        count, last, fingerprint = count + 1, at, row.fingerprint
+    rows = pd.concat(batches).sort_values(["ts", "ord"])
+    at, prints = rows["ts"].to_numpy("datetime64[us]").astype("int64"), rows["fingerprint"].to_numpy(object)
+    # each poll against the one before it, the first against the state
+    gone = (np.diff(at, prepend=at[0] if last is None else last) // 86_400_000_000 >= GAP_DAYS) & (prints == np.concatenate([[fingerprint], prints[:-1]]))
+    gone[0] &= last is not None
+    count, back, last, fingerprint = count + len(at), back + int(gone.sum()), int(at[-1]), prints[-1]
     state.update((count, back, last, fingerprint))
     yield pd.DataFrame({"job_uid": [key[0]], "poll_count": [count], "reappearances": [back], "last_present_us": [last], "fingerprint": [fingerprint]})
 
@@ -36,16 +38,23 @@ def sightings_stream(polls: DataFrame) -> DataFrame:
     return polls.groupBy("job_uid").applyInPandasWithState(_step, f"job_uid {kind}, poll_count long, reappearances long, last_present_us long, fingerprint string", "poll_count long, reappearances long, last long, fingerprint string", "update", "NoTimeout")
 
 
-def merge_batches(stream: DataFrame, path: str, keys: list[str], policies: dict[str, str], checkpoint: str):
-    """A sink that merges every batch into a snapshot folder; a batch that runs again writes the same version again."""
+def merge_batches(stream: DataFrame, path: str, keys: list[str], policies: dict[str, str], checkpoint: str, ordinal: str | None = None):
+    """A sink that merges every batch into a snapshot folder, v0, v1 and so on; a batch that runs again writes the same version again. Of
+    several rows of a key in a batch the first by `ordinal` counts (by a hash of the row if it is left out). Each version has all rows; the
+    version before it stays until the next, for a batch that runs again, older ones go."""
     from quarryline.operators.merge import keyed_merge
+    from quarryline.operators.relational import first_per
 
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        placed = batch.withColumn("_ord", F.col(ordinal) if ordinal else F.xxhash64(*batch.columns))
+        new = first_per(placed, keys, "_ord").drop("_ord")
         if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            batch = keyed_merge(old, batch.dropDuplicates(keys), keys, policies)
-        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+            new = keyed_merge(spark.read.parquet(f"{path}/v{number - 1}"), new, keys, policies)
+        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

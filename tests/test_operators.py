@@ -66,6 +66,10 @@ def test_streaming_merge(spark, tmp_path):
     spark.createDataFrame([(2, "z"), (3, "c")], "k int, v string").write.mode("append").parquet(str(tmp_path / "in"))
     sightings.merge_batches(stream, str(tmp_path / "out"), ["k"], {"v": "take"}, str(tmp_path / "c")).awaitTermination(120)
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()} == {(1, "a"), (2, "z"), (3, "c")}
+    spark.createDataFrame([(3, "n"), (3, "m"), (4, "d")], "k int, v string").write.mode("append").parquet(str(tmp_path / "in"))
+    sightings.merge_batches(stream, str(tmp_path / "out"), ["k"], {"v": "take"}, str(tmp_path / "c"), "v").awaitTermination(120)
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out/v2")).collect()} == {(1, "a"), (2, "z"), (3, "m"), (4, "d")}
+    assert not (tmp_path / "out/v0").exists()
 
 
 def test_filters_and_columns_reach_the_scan(spark, data):
