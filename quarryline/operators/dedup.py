@@ -202,37 +202,24 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
 
 def merge_people(people: DataFrame) -> DataFrame:
     """(ord, leader) of records of one person in a company. Two records join if they share a github, linkedin or email id, a verified
-    channel, or the name where one side has an id; never if an id of both sides differs.
-
-    people: company_slug, ord, gh, li, em, name (null or lower case), verified (array of strings). One task takes a company."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        rows = [(r.ord, tuple(None if pd.isna(x) or x == "" else x for x in (r.gh, r.li, r.em)), None if pd.isna(r.name_) or r.name_ == "" else r.name_, set(r.verified if r.verified is not None else ())) for r in pdf.rename(columns={"name": "name_"}).itertuples()]
-        parent = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        # only records that share something can join: candidates come from an index, not from all pairs
-        index: dict[tuple, list[int]] = {}
-        for i, (_, ids, name, verified) in enumerate(rows):
-            for k in [*((n, x) for n, x in enumerate(ids) if x), *(("v", v) for v in verified), *([("name", name)] if name else [])]:
-                index.setdefault(k, []).append(i)
-        for k, own in index.items():
-            for n, i in enumerate(own):
-                for j in own[n + 1 :]:
-                    a, b = rows[i], rows[j]
-                    if any(x and y and x != y for x, y in zip(a[1], b[1], strict=True)):
-                        continue
-                    if k[0] != "name" or any(a[1]) or a[3] or any(b[1]) or b[3]:
-                        parent[find(j)] = find(i)
-        least: dict[int, int] = {}
-        for i, r in enumerate(rows):
-            least.setdefault(find(i), r[0])
-        return pd.DataFrame({"ord": [r[0] for r in rows], "leader": [least[find(i)] for i in range(len(rows))]})
-
-    return people.select("company_slug", "ord", "gh", "li", "em", "name", "verified").groupBy("company_slug").applyInPandas(run, "ord long, leader long")
+    channel, or the name where one side has an id or a verified channel; never if an id of both sides differs.
+
+    No pair is made: whether two records that share something may join depends on the ids that both have, so those of one pattern of
+    known ids and those of another that agree in the ids common to both patterns all join, if there are any of both. Each such meeting
+    place is a key of its own, and its records are linked to its least one.
+
+    people: company_slug, ord, gh, li, em, name (null or lower case), verified (array of strings)."""
+    ids = ["gh", "li", "em"]
+    filled = people.select(F.struct("company_slug", "ord").alias("node"), "company_slug", *(F.nullif(c, F.lit("")).alias(c) for c in ids), F.nullif("name", F.lit("")).alias("name"), F.array_distinct(F.filter(F.coalesce("verified", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("verified"))
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    own = filled.withColumn("p", sum((bit(F.col(c).isNotNull(), 1 << i) for i, c in enumerate(ids)), bit(F.size("verified") > 0, 8)))
+    shared = F.concat(F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("t"), F.col(c).alias("v"))) for c in ids), F.when(F.col("name").isNotNull(), F.struct(F.lit("name").alias("t"), F.col("name").alias("v")))), lambda x: x.isNotNull()), F.transform("verified", lambda v: F.struct(F.lit("ver").alias("t"), v.alias("v"))))
+    rows = own.withColumn("k", F.explode(shared)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(15)))).where("NOT (k.t = 'name' AND p = 0 AND q = 0)")
+    both = F.col("p").bitwiseAND(F.col("q"))
+    place = F.struct("company_slug", "k", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), *(F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c)).alias(c) for i, c in enumerate(ids)))
+    # a digest stands for the place: its parts may be null
+    met = rows.select(F.sha2(F.to_json(place), 256).alias("place"), "node", "p", (F.col("p") == F.col("q")).alias("alike"))
+    open_ = met.groupBy("place").agg(F.min("node").alias("first"), F.count("*").alias("n"), ((F.min("p") != F.max("p")) | F.max("alike")).alias("fits")).where("n > 1 AND fits").select("place", "first")
+    links = met.join(open_, "place").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    groups = graph.components(links)
+    return filled.join(groups, "node", "left").select("node.ord", F.coalesce("label.ord", "node.ord").alias("leader"))

@@ -252,8 +252,8 @@ def index_entries(dossiers: DataFrame) -> DataFrame:
 
 def write_files(dossiers: DataFrame, folder: str, who: str = "the candidate") -> None:
     """A document for each dossier, in a folder for each slug, and index as text parts that make one JSON object in order."""
-    docs = dossiers.select("company_slug", markdown(dossiers, who).alias("value"))
-    docs.write.mode("overwrite").option("lineSep", "").partitionBy("company_slug").text(f"{folder}/documents")
+    docs = dossiers.select("company_slug", F.regexp_replace(markdown(dossiers, who), r"\n\z", "").alias("value"))  # the writer ends the last line
+    docs.write.mode("overwrite").partitionBy("company_slug").text(f"{folder}/documents")
     own = index_entries(dossiers).select(F.lit(1).alias("part"), "company_slug", F.concat(F.to_json(F.array("company_slug")).substr(F.lit(2), F.length(F.to_json(F.array("company_slug"))) - 2), F.lit(": "), "entry").alias("value"))
     last = Window.partitionBy("part").orderBy(F.desc("company_slug"))
     rows = own.withColumn("value", F.concat("value", F.when(F.row_number().over(last) > 1, ",").otherwise(""))).unionByName(dossiers.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, company_slug string, value string"))

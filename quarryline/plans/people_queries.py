@@ -412,3 +412,21 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     jobs = e.selectExpr("vec_id AS ord", "CASE WHEN vec_id % 2 = 0 THEN 'lever' ELSE 'listing' END AS ats", "-vec_id AS posted", "0 AS first_seen", "vec_id % 3 AS times_seen_elsewhere")
     return dedup.collapse_semantic(jobs, e.selectExpr("vec_id AS ord", "label AS company_slug", "embedding AS vector"), 0.4)
+
+
+_PROFILE = [((i * 7) % 5 - 2) / 4.0 for i in range(64)]
+_RESCORE = f"WITH v AS (SELECT vec_id, greatest(0, least(1, list_cosine_similarity(embedding::double[], list_resize({_PROFILE}::double[], len(embedding), 0.25)))) AS fit FROM embeddings), b AS (SELECT board_id, count(*) AS total FROM jobs GROUP BY 1), x AS (SELECT j.*, coalesce(fit, 0) AS fit, CASE WHEN coalesce(posted, first_seen) > {DAY0 + 200 * 86400} THEN 0.3 ELSE power(0.5, ({DAY0 + 200 * 86400} - coalesce(posted, first_seen)) / 86400.0 / 14) END AS f, 0.5 / (1.0 + seen_elsewhere) + 0.5 / (1.0 + total / 50.0) AS r FROM jobs j LEFT JOIN v ON vec_id = doc_id JOIN b USING (board_id))"
+
+
+@QUERIES("q_rescored", f"{_RESCORE} SELECT job_uid, round(fit, 6) AS fit, round(f, 6) AS freshness, round(r, 6) AS rarity, round(least(1, 0.5 * fit + 0.25 * f + 0.25 * r + CASE WHEN is_internship AND doc_id % 50 % 3 = 0 THEN 0.05 ELSE 0 END), 6) AS discovery FROM x")
+def _(spark, d):
+    from quarryline.operators import rescore
+
+    j, e = table(spark, d, "jobs"), table(spark, d, "embeddings")
+    size = len(e.select("embedding").first()[0])
+    profile = (_PROFILE + [0.25] * size)[:size]
+    vectors = e.join(j.select(F.col("doc_id").alias("vec_id"), "job_uid"), "vec_id").select("job_uid", F.col("embedding").alias("vector"))
+    companies = j.selectExpr("company_slug", "CASE WHEN doc_id % 50 % 3 = 0 THEN '{\"disclosure\": {\"filings\": 2}}' ELSE '{\"other\": 1}' END AS notes").distinct()
+    boards = j.groupBy("board_id").agg(F.count("*").alias("total_jobs_seen"))
+    out = rescore.rescored(j.withColumn("times_seen_elsewhere", F.col("seen_elsewhere")), vectors, profile, boards, companies, F.timestamp_seconds(F.lit(DAY0 + 200 * 86400)))
+    return out.select("job_uid", *(F.round(c, 6).alias(c) for c in ("fit", "freshness", "rarity", "discovery")))

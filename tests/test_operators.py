@@ -109,3 +109,36 @@ def test_connection(spark):
     got = df.select("want", targets.connection(F.col("company"), F.col("slug"), F.col("domain"), known).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
     assert df.select(targets.connection(F.col("company"), F.col("slug"), F.col("domain"), []).alias("c")).where("c IS NOT NULL").count() == 0
+
+
+def people_by_pairs(rows):
+    """leader of each record by comparing all pairs of a company: rows of (company, ord, gh, li, em, name, verified)."""
+    parent = {r[:2]: r[:2] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if a[0] != b[0] or any(x and y and x != y for x, y in zip(a[2:5], b[2:5], strict=True)):
+                continue
+            identified = any(a[2:5]) or a[6] or any(b[2:5]) or b[6]
+            if any(x and x == y for x, y in zip(a[2:5], b[2:5], strict=True)) or set(a[6] or ()) & set(b[6] or ()) or a[5] and a[5] == b[5] and identified:
+                x, y = find(a[:2]), find(b[:2])
+                parent[max(x, y)] = min(x, y)
+    return {r[:2]: find(r[:2])[1] for r in rows}
+
+
+def test_people_merge_equals_all_pairs(spark):
+    import random
+
+    from quarryline.operators import dedup
+
+    pick = random.Random(3)
+    some = lambda xs, p: pick.choice(xs) if pick.random() < p else pick.choice([None, ""])
+    for n_ids in (3, 12):
+        rows = [(pick.choice("st"), i, some([f"g{k}" for k in range(n_ids)], 0.4), some([f"l{k}" for k in range(n_ids)], 0.4), some([f"e{k}" for k in range(n_ids)], 0.3), some(["ann", "bo", "cy", "di"], 0.6), pick.choice([None, [], [], [f"v{pick.randrange(n_ids)}"]])) for i in range(70)]
+        df = spark.createDataFrame(rows, "company_slug string, ord long, gh string, li string, em string, name string, verified array<string>")
+        assert {r.ord: r.leader for r in dedup.merge_people(df).collect()} == {k[1]: v for k, v in people_by_pairs(rows).items()}
