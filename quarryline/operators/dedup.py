@@ -213,8 +213,11 @@ def merge_people(people: DataFrame) -> DataFrame:
     filled = people.select(F.struct("company_slug", "ord").alias("node"), "company_slug", *(F.nullif(c, F.lit("")).alias(c) for c in ids), F.nullif("name", F.lit("")).alias("name"), F.array_distinct(F.filter(F.coalesce("verified", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("verified"))
     bit = lambda c, n: F.when(c, n).otherwise(0)
     own = filled.withColumn("p", sum((bit(F.col(c).isNotNull(), 1 << i) for i, c in enumerate(ids)), bit(F.size("verified") > 0, 8)))
+    patterns = [r.p for r in own.select("p").distinct().collect()]  # 16 at most
+    if not patterns:
+        return filled.select("node.ord", F.col("node.ord").alias("leader"))
     shared = F.concat(F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("t"), F.col(c).alias("v"))) for c in ids), F.when(F.col("name").isNotNull(), F.struct(F.lit("name").alias("t"), F.col("name").alias("v")))), lambda x: x.isNotNull()), F.transform("verified", lambda v: F.struct(F.lit("ver").alias("t"), v.alias("v"))))
-    rows = own.withColumn("k", F.explode(shared)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(15)))).where("NOT (k.t = 'name' AND p = 0 AND q = 0)")
+    rows = own.withColumn("k", F.explode(shared)).withColumn("q", F.explode(F.array(*map(F.lit, patterns)))).where("NOT (k.t = 'name' AND p = 0 AND q = 0)")
     both = F.col("p").bitwiseAND(F.col("q"))
     place = F.struct("company_slug", "k", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), *(F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c)).alias(c) for i, c in enumerate(ids)))
     # a digest stands for the place: its parts may be null

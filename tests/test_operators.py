@@ -142,3 +142,33 @@ def test_people_merge_equals_all_pairs(spark):
         rows = [(pick.choice("st"), i, some([f"g{k}" for k in range(n_ids)], 0.4), some([f"l{k}" for k in range(n_ids)], 0.4), some([f"e{k}" for k in range(n_ids)], 0.3), some(["ann", "bo", "cy", "di"], 0.6), pick.choice([None, [], [], [f"v{pick.randrange(n_ids)}"]])) for i in range(70)]
         df = spark.createDataFrame(rows, "company_slug string, ord long, gh string, li string, em string, name string, verified array<string>")
         assert {r.ord: r.leader for r in dedup.merge_people(df).collect()} == {k[1]: v for k, v in people_by_pairs(rows).items()}
+
+
+def test_collapse_equals_the_plain_rule(spark):
+    """First of each url, then each posting in input order to the first group with a like member; the best of a group stays."""
+    import random
+    from difflib import SequenceMatcher
+
+    from quarryline.operators import dedup
+
+    pick = random.Random(5)
+    words = ["software", "engineer", "intern", "data", "science", "summer", "2026", "backend", "platform"]
+    rows = []
+    for i in range(160):
+        title = " ".join(pick.choices(words, k=pick.randint(2, 4))) if i < 40 else rows[pick.randrange(40)][3] + pick.choice(["", "s", " i", " ing"])
+        rows.append((i, f"u{pick.randrange(140)}", pick.choice("ab"), title, pick.choice([None, "paris", "rome"]), pick.random() < 0.2, pick.choice(["lever", "listing"]), pick.choice([None, i % 7]), i % 5))
+    kept = list({r[1]: r for r in reversed(rows)}.values())
+    groups: dict[str, list[list[tuple]]] = {}
+    for r in sorted(kept):
+        own = groups.setdefault(r[2], [])
+        like = lambda m: (r[5] or m[5] or r[4] is None or m[4] is None or r[4] == m[4]) and SequenceMatcher(None, r[3], m[3]).ratio() >= 0.9
+        for g in own:
+            if any(like(m) for m in g):
+                g.append(r)
+                break
+        else:
+            own.append([r])
+    best = lambda g: min(g, key=lambda r: (r[6] not in dedup.TIER_A, 1 << 62 if r[7] is None else r[7], r[8], r[0]))
+    want = {(best(g)[0], len(g) - 1) for own in groups.values() for g in own}
+    df = spark.createDataFrame(rows, "ord long, url_hash string, company_slug string, title_key string, place string, is_remote boolean, ats string, posted long, first_seen long")
+    assert {(r.ord, r.times_seen_elsewhere) for r in dedup.collapse(df).collect()} == want and len(want) < len(kept)
