@@ -132,7 +132,10 @@ def _(spark, d):
     return s.select("s_suppkey", "provider", names.default_template(F.col("band"), F.col("provider")).alias("template"), names.prior_confidence(F.col("band")).alias("prior"))
 
 
-@QUERIES("q_identity_merge")
+_SAME = "(a.gh IS NULL OR b.gh IS NULL OR a.gh = b.gh) AND (a.li IS NULL OR b.li IS NULL OR a.li = b.li) AND (a.gh = b.gh OR a.li = b.li OR (a.name = b.name AND coalesce(a.gh, a.li, b.gh, b.li) IS NOT NULL))"
+
+
+@QUERIES("q_identity_merge", f"WITH RECURSIVE p AS (SELECT c_nationkey AS f, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 200 END AS gh, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 150 END AS li, c_custkey % 97 AS name FROM customer), e AS (SELECT a.ord AS a, b.ord AS b FROM p a JOIN p b ON a.f = b.f AND a.ord <> b.ord WHERE {_SAME}), r AS (SELECT ord AS node, ord AS label FROM p UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node) SELECT node AS ord, min(label) AS leader FROM r GROUP BY 1")
 def _(spark, d):
     p = table(spark, d, "customer").select((F.col("c_nationkey")).cast("string").alias("company_slug"), F.col("c_custkey").alias("ord"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("g"), F.col("c_custkey") % 200)).alias("gh"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("l"), F.col("c_custkey") % 150)).alias("li"), F.lit(None).cast("string").alias("em"), F.concat(F.lit("n"), F.col("c_custkey") % 97).alias("name"), F.array().cast("array<string>").alias("verified"))
     return dedup.merge_people(p)
