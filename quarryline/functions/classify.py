@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from quarryline.functions.text import strip
+
 #: Kinds of early-career postings, first match wins.
 KINDS = [
     ("co-op", r"\bco[\s\-]?op\b"), ("summer-analyst", r"\bsummer\s+analyst\b"), ("rotational", r"\brotational\b|\brotation(?:al)?\s+program\b"),
@@ -45,22 +49,56 @@ QUALITY_FLAGS = ["content_free", "agency", "mlm_scam", "personal_email_apply", "
 BAD_VERDICTS = ["spam", "ghost", "agency", "mlm"]
 
 
-def has(c: Column, pattern: str) -> Column:
-    return F.coalesce(c.rlike("(?i)" + pattern), F.lit(False))
-
-
-def first_label(c: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*(F.when(has(c, p), F.lit(name)) for name, p in rules))
-
-
-def all_labels(c: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.filter(F.array(*(F.when(has(c, p), F.lit(name)) for name, p in rules)), lambda x: x.isNotNull())
-
-
-def is_internship(title: Column, text: Column) -> Column:
-    """A strong word in the title decides; a weak one needs a title that isn't senior; so does a strong phrase in the text."""
+def needed(pattern: str) -> list[str]:
+    """For each alternative of a pattern a run of letters that any match has; nothing if one has none. Groups, classes and optional
+    letters count for nothing."""
+    whole = re.fullmatch(r"\\b\((?!\?)(.*)\)\\b", pattern)
+    inner = whole[1] if whole else pattern
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(inner):
+        depth += (c == "(") - (c == ")")
+        if depth < 0:  # the outer brackets weren't one group
+            return needed(f"(?:){pattern}")
+        if c == "|" and not depth:
+            parts.append(inner[at:i])
+            at = i + 1
+    out = []
+    for part in [*parts, inner[at:]]:
+        bare = re.sub(r"\[[^\]]*\][?*+]?", " ", part)
+        while "(" in bare:
+            bare = re.sub(r"\([^()]*\)[?*+]?", " ", bare)
+        runs = re.findall(r"[a-z]{3,}", re.sub(r"\\.[?*+]?|\{[^}]*\}|.[?*]", " ", bare))
+        if not runs:
+            return []
+        out.append(max(runs, key=len))
+    return list(dict.fromkeys(out))
+
+
+def has(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether a pattern is found, whatever the case. With the lower-cased text given, the pattern runs only where that has a run of letters
+    that a match needs, which is looked for far faster."""
+    found = F.coalesce(c.rlike("(?i)" + pattern), F.lit(False))
+    words = needed(pattern) if low is not None else []
+    if not words:
+        return found
+    gate = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        gate = gate | F.contains(low, F.lit(w))
+    return F.when(gate, found).otherwise(False)
+
+
+def first_label(c: Column, rules: list[tuple[str, str]], low: Column | None = None) -> Column:
+    return F.coalesce(*(F.when(has(c, p, low), F.lit(name)) for name, p in rules))
+
+
+def all_labels(c: Column, rules: list[tuple[str, str]], low: Column | None = None) -> Column:
+    return F.filter(F.array(*(F.when(has(c, p, low), F.lit(name)) for name, p in rules)), lambda x: x.isNotNull())
+
+
+def is_internship(title: Column, text: Column, low: Column | None = None) -> Column:
+    """A strong word in the title decides; a weak one needs a title that isn't senior; so does a strong phrase in the text (low: lower-cased)."""
     senior = has(title, SENIOR)
-    return F.when(has(title, STRONG_TITLE), True).when(has(title, INTERNSHIP), ~senior).otherwise(has(text, STRONG_TEXT) & ~senior)
+    return F.when(has(title, STRONG_TITLE), True).when(has(title, INTERNSHIP), ~senior).otherwise(~senior & has(text, STRONG_TEXT, low))
 
 
 def internship_kind(title: Column, text: Column) -> Column:
@@ -73,9 +111,12 @@ def level_tags(title: Column, text: Column) -> Column:
 
 def classified(title: Column, text: Column) -> Column:
     """STRUCT(is_internship, kind, tags): the three together, each pattern once in the plan."""
-    read = F.struct(title.alias("title"), text.alias("text"), is_internship(title, text).alias("is_internship"), F.concat_ws("\n", title, text).alias("both"))
-    kind = lambda x: F.when(x["is_internship"], F.coalesce(first_label(x["title"], KINDS), first_label(x["both"], KINDS)))
-    return F.transform(F.array(read), lambda x: F.struct(x["is_internship"].alias("is_internship"), kind(x).alias("kind"), all_labels(x["both"], LEVEL_TAGS).alias("tags")))[0]
+    read = F.struct(title.alias("title"), text.alias("text"), F.concat_ws("\n", title, text).alias("both"))
+    low = lambda x: F.struct(x["title"].alias("title"), x["both"].alias("both"), F.lower(x["both"]).alias("low"), x["text"].alias("text"))
+    is_ = lambda x: F.struct(is_internship(x["title"], x["text"], x["low"]).alias("is"), x["title"].alias("title"), x["both"].alias("both"), x["low"].alias("low"))
+    kind = lambda x: F.when(x["is"], F.coalesce(first_label(x["title"], KINDS), first_label(x["both"], KINDS, x["low"])))
+    out = lambda x: F.struct(x["is"].alias("is_internship"), kind(x).alias("kind"), all_labels(x["both"], LEVEL_TAGS, x["low"]).alias("tags"))
+    return F.transform(F.transform(F.transform(F.array(read), low), is_), out)[0]
 
 
 def is_early_title(title: Column) -> Column:
@@ -104,16 +145,20 @@ def quality(title: Column, text: Column, ats: Column, open_days: Column, rolling
     """STRUCT(score, flags, hint): 100 less the penalty of every flag that holds, 0 to 100; flags in the order of the rules."""
     read = F.struct(F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), ats.isin(LOW_TRUST).alias("low"), open_days.alias("days"), F.coalesce(rolling, F.lit(False)).alias("rolling"))
 
+    def with_low(x: Column) -> Column:
+        both = F.concat_ws("\n", x["title"], x["text"])
+        return F.struct(*(x[c].alias(c) for c in ("title", "text", "low", "days", "rolling")), both.alias("both"), F.lower(both).alias("lower"))
+
     def rules(x: Column) -> Column:
         """For each rule its cost where it holds, else null."""
-        both = F.concat_ws("\n", x["title"], x["text"])
+        both, lower = x["both"], x["lower"]
         years = F.regexp_extract(x["text"], "(?i)" + YEARS, 1).try_cast("int")
         return F.array(
-            F.when(F.length(F.regexp_replace(x["text"], r"(?U)^\s+|\s+$", "")) < least_chars, F.when(x["low"], 30.0).otherwise(20.0)),
-            F.when(has(both, AGENCY), F.lit(25.0)),
-            F.when(has(both, SCAM) | has(both, CONTACT_ONLY), F.lit(45.0)),
-            F.when(has(x["text"], PERSONAL_EMAIL), F.when(x["low"], 20.0).otherwise(8.0)),
-            F.when(has(both, GHOST), F.lit(20.0)),
+            F.when(F.length(strip(x["text"])) < least_chars, F.when(x["low"], 30.0).otherwise(20.0)),
+            F.when(has(both, AGENCY, lower), F.lit(25.0)),
+            F.when(has(both, SCAM, lower) | (F.rlike(lower, F.lit("whatsapp|telegram|signal")) & has(both, CONTACT_ONLY)), F.lit(45.0)),
+            F.when(F.contains(x["text"], F.lit("@")) & has(x["text"], PERSONAL_EMAIL, lower), F.when(x["low"], 20.0).otherwise(8.0)),
+            F.when(has(both, GHOST, lower), F.lit(20.0)),
             F.when(x["days"] > ghost_days, F.least(F.lit(25.0), 10.0 + (x["days"] - ghost_days) / 6.0)),
             F.when(has(x["title"], ENTRY_TITLE) & (F.coalesce(years >= 4, F.lit(False)) | has(x["title"], SENIOR)), F.lit(15.0)),
             F.when(x["rolling"], F.lit(2.0)),
@@ -126,7 +171,7 @@ def quality(title: Column, text: Column, ats: Column, open_days: Column, rolling
         return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), flags.alias("flags"), hint.alias("hint"))
 
     # functions over arrays of one: each pattern stands once in the plan and runs once a row
-    return F.transform(F.transform(F.array(read), rules), judged)[0]
+    return F.transform(F.transform(F.transform(F.array(read), with_low), rules), judged)[0]
 
 
 def shown_on_dashboard(verdict: Column, confidence: Column) -> Column:

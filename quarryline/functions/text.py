@@ -15,8 +15,12 @@ URL = r"""(?i)https?://[^\s<>"')]+"""
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+#: White space that strip takes off the ends.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column | str) -> Column:
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WHITE))
 
 
 def squeezed(c: Column) -> Column:

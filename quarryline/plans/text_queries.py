@@ -72,7 +72,8 @@ _KIND = "CASE " + " ".join(f"WHEN {_m('title', p)} THEN '{n}'" for n, p in class
 @QUERIES("q_classify_internship", f"SELECT job_uid, {_IS} AS is_intern, CASE WHEN {_IS} THEN {_KIND} END AS kind, concat_ws(',', " + ", ".join(f"CASE WHEN {_m(_C, p)} THEN '{n}' END" for n, p in classify.LEVEL_TAGS) + f") AS tags, {_m('title', classify.EARLY_TITLE)} AS early FROM jobs")
 def _(spark, d):
     t, x = F.col("title"), F.col("description_text")
-    return table(spark, d, "jobs").select("job_uid", classify.is_internship(t, x).alias("is_intern"), classify.internship_kind(t, x).alias("kind"), F.array_join(classify.level_tags(t, x), ",").alias("tags"), classify.is_early_title(t).alias("early"))
+    both = table(spark, d, "jobs").select("job_uid", classify.classified(t, x).alias("c"), classify.is_early_title(t).alias("early"))
+    return both.select("job_uid", F.col("c.is_internship").alias("is_intern"), "c.kind", F.array_join("c.tags", ",").alias("tags"), "early")
 
 
 _ROLE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{n}')" for n in needles) + f" THEN '{name}'" for needles, name in classify.ROLES) + " ELSE 'other' END"
