@@ -6,8 +6,6 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from quarryline.functions.text import strip
-
 #: Kinds of early-career postings, first match wins.
 KINDS = [
     ("co-op", r"\bco[\s\-]?op\b"), ("summer-analyst", r"\bsummer\s+analyst\b"), ("rotational", r"\brotational\b|\brotation(?:al)?\s+program\b"),
@@ -145,6 +143,9 @@ def quality(title: Column, text: Column, ats: Column, open_days: Column, rolling
     """STRUCT(score, flags, hint): 100 less the penalty of every flag that holds, 0 to 100; flags in the order of the rules."""
     read = F.struct(F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"), ats.isin(LOW_TRUST).alias("low"), open_days.alias("days"), F.coalesce(rolling, F.lit(False)).alias("rolling"))
 
+    # from the first character that is no white space to the last: least_chars at least
+    enough = rf"(?sU)\A\s*+\S.{{{least_chars - 2}}}.*?\S" if least_chars > 1 else r"(?U)\S" if least_chars == 1 else ""
+
     def with_low(x: Column) -> Column:
         both = F.concat_ws("\n", x["title"], x["text"])
         return F.struct(*(x[c].alias(c) for c in ("title", "text", "low", "days", "rolling")), both.alias("both"), F.lower(both).alias("lower"))
@@ -154,7 +155,7 @@ def quality(title: Column, text: Column, ats: Column, open_days: Column, rolling
         both, lower = x["both"], x["lower"]
         years = F.regexp_extract(x["text"], "(?i)" + YEARS, 1).try_cast("int")
         return F.array(
-            F.when(F.length(strip(x["text"])) < least_chars, F.when(x["low"], 30.0).otherwise(20.0)),
+            F.when(~x["text"].rlike(enough), F.when(x["low"], 30.0).otherwise(20.0)),
             F.when(has(both, AGENCY, lower), F.lit(25.0)),
             F.when(has(both, SCAM, lower) | (F.rlike(lower, F.lit("whatsapp|telegram|signal")) & has(both, CONTACT_ONLY)), F.lit(45.0)),
             F.when(F.contains(x["text"], F.lit("@")) & has(x["text"], PERSONAL_EMAIL, lower), F.when(x["low"], 20.0).otherwise(8.0)),

@@ -107,3 +107,12 @@ def test_listings(spark):
     items = spark.createDataFrame([("Data Intern", "Acme", "https://jobs.lever.co/acme/1"), ("Founding Engineer", "B", "https://b.example"), ("CTO", "C", "https://c.example")], "title string, company string, url string").selectExpr("*", "cast(null as string) as location", "cast(null as string) as posted", "'feed' as source", "'' as text")
     assert [(r.ats, r.token) for r in adapters.listings(items).collect()] == [("lever", "acme")]
     assert {r.title for r in adapters.listings(items, keep_early=True).collect()} == {"Data Intern", "Founding Engineer"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 298, 299, 300, 301])
+@pytest.mark.parametrize("least", [1, 2, 300])
+def test_content_free_counts_what_stands_between_the_ends(spark, n, least):
+    inner = ("a" + "é \n" * n)[: n - 1] + "z" if n > 1 else "a" * n
+    text = "\u2003 \n" + inner + "\t " * 400
+    q = spark.createDataFrame([(text,)], "t string").select(classify.quality(F.lit("Role"), F.col("t"), F.lit("lever"), F.lit(0), F.lit(False), least_chars=least).alias("q")).first().q
+    assert ("content_free" in q.flags) == (len(text.strip()) < least)
