@@ -57,26 +57,27 @@ def contact_view(contacts: DataFrame, channels: DataFrame) -> DataFrame:
     return both.select("contact_id", "company_slug", F.col("full_name").alias("name"), "title", g("role_category").alias("role"), "email", g("email_status").alias("email_status"), F.round("confidence", 0).alias("email_confidence"), g("email_label").alias("email_label"), g("linkedin_url").alias("linkedin"), g("github_login").alias("github"), g("person_source").alias("source"), F.coalesce("other_channels", none).alias("other_channels"), "priority", "confidence")
 
 
-def top_contacts(contacts: DataFrame, channels: DataFrame, n: int) -> DataFrame:
-    """The first n contacts of every company, by priority and confidence, with their channels. Cut before the channels are joined."""
-    first = relational.top_per(contacts, ["company_slug"], _order(), n)
+def top_contacts(contacts: DataFrame, channels: DataFrame, n: int | None) -> DataFrame:
+    """The first n contacts of every company, by priority and confidence, with their channels; all if n is None. Cut before the channels
+    are joined."""
+    first = contacts if n is None else relational.top_per(contacts, ["company_slug"], _order(), n)
     return contact_view(first, channels.join(first.select("contact_id"), "contact_id", "left_semi"))
 
 
-def job_contacts(jobs: DataFrame, contacts: DataFrame, channels: DataFrame, n: int = 8) -> DataFrame:
-    """job_uid and contacts, an array of its company's first n, in order."""
+def job_contacts(jobs: DataFrame, contacts: DataFrame, channels: DataFrame, n: int | None = 8) -> DataFrame:
+    """job_uid and contacts, an array of its company's first n, all if n is None, in order."""
     own = top_contacts(contacts.join(jobs.select("company_slug").distinct(), "company_slug", "left_semi"), channels, n)
     row = F.struct(F.struct(F.col("priority").isNull().alias("p"), (-F.coalesce("priority", F.lit(0.0))).alias("q"), F.col("confidence").isNull().alias("c"), (-F.coalesce("confidence", F.lit(0.0))).alias("d"), "contact_id").alias("o"), F.struct("contact_id", "name", "title", "email", "other_channels").alias("c"))
     nest = own.groupBy("company_slug").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["c"]).alias("contacts"))
     return jobs.select("job_uid", "company_slug").join(nest, "company_slug", "left").select("job_uid", F.coalesce("contacts", F.expr("array()").cast(nest.schema["contacts"].dataType)).alias("contacts"))
 
 
-def job_detail(jobs: DataFrame, scores: DataFrame, contacts: DataFrame, channels: DataFrame, job_uid: str | None = None, url: str | None = None) -> DataFrame:
-    """One posting in full, found by uid or url, with its company's first contacts; no row if there is none."""
+def job_detail(jobs: DataFrame, scores: DataFrame, contacts: DataFrame, channels: DataFrame, job_uid: str | None = None, url: str | None = None, n: int | None = 8) -> DataFrame:
+    """One posting in full, found by uid or url, with its company's first n contacts, all if n is None; no row if there is no posting."""
     if not job_uid and not url:
         raise ValueError("job_uid or url")
     one = jobs.where(F.col("job_uid") == job_uid if job_uid else F.col("url") == url).orderBy("job_uid").limit(1)
-    return job_view(one, scores, full=True).join(job_contacts(one, contacts, channels), "job_uid", "left")
+    return job_view(one, scores, full=True).join(job_contacts(one, contacts, channels, n), "job_uid", "left")
 
 
 def company_row(companies: DataFrame, name: str) -> DataFrame:
