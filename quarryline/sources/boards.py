@@ -6,7 +6,7 @@ as source_url.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarryline.functions import text, urls
 from quarryline.operators import filings, graph
@@ -122,19 +122,22 @@ def robots_sitemaps(robots: DataFrame, column: str = "body") -> DataFrame:
     return robots.select("site", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.concat("site", F.lit("/sitemap.xml"))))).alias("url"))
 
 
-def sitemap_links(roots: DataFrame, files: DataFrame, depth: int = 2, most: int = 5000) -> DataFrame:
-    """(site, ord, url): the places that a site's sitemaps give, over sitemaps of sitemaps down to `depth`, the first `most` of each site.
+def sitemap_links(roots: DataFrame, files: DataFrame, depth: int = 2, most: int | None = 5000) -> DataFrame:
+    """(site, ord, url): the places that a site's sitemaps give, over sitemaps of sitemaps down to `depth`, by file and place in it; the
+    first `most` of each site, all if it is None. A window counts the places of the files before, so no site is gathered in a row.
     roots: site, url; files: url, body."""
     inner = lambda tag: F.transform(F.regexp_extract_all("body", F.lit(rf"(?s)<{tag}>\s*<loc>\s*([^<]*?)\s*</loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    read = files.select("url", inner("sitemap").alias("maps"), inner("url").alias("places"))
+    read = files.select("url", inner("sitemap").alias("maps"), F.filter(inner("url"), lambda u: u != "").alias("places"))
     level, seen = roots.select("site", "url").distinct(), None
     for _ in range(depth + 1):
         own = level.join(read, "url")
         seen = own if seen is None else seen.unionByName(own)
         level = own.select("site", F.explode("maps").alias("url")).distinct().join(seen.select("site", "url"), ["site", "url"], "left_anti")
-    each = seen.select("site", F.col("url").alias("file"), F.posexplode("places").alias("n", "url")).where("url <> ''")
-    first = each.groupBy("site").agg(F.slice(F.array_sort(F.collect_list(F.struct("file", "n", "url"))), 1, most).alias("rows"))
-    return first.select("site", F.posexplode("rows").alias("ord", "r")).select("site", "ord", "r.url")
+    before = F.sum(F.size("places")).over(Window.partitionBy("site").orderBy("url", "places").rowsBetween(Window.unboundedPreceding, -1))
+    each = seen.where("size(places) > 0").withColumn("before", F.coalesce(before, F.lit(0)))
+    if most is not None:
+        each = each.where(F.col("before") < most).withColumn("places", F.slice("places", 1, (most - F.col("before")).cast("int")))
+    return each.select("site", "before", F.posexplode("places").alias("n", "url")).select("site", (F.col("before") + F.col("n")).alias("ord"), "url")
 
 
 def posting_links(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import dedup, graph, merge, relational, targets
 from quarryline.plans.tables import table
+from quarryline.sources import boards
 from quarryline.streaming import sightings
 
 
@@ -172,3 +173,15 @@ def test_collapse_equals_the_plain_rule(spark):
     want = {(best(g)[0], len(g) - 1) for own in groups.values() for g in own}
     df = spark.createDataFrame(rows, "ord long, url_hash string, company_slug string, title_key string, place string, is_remote boolean, ats string, posted long, first_seen long")
     assert {(r.ord, r.times_seen_elsewhere) for r in dedup.collapse(df).collect()} == want and len(want) < len(kept)
+
+
+def test_sitemap_links_come_whole_or_cut(spark):
+    """Every place by file and order, over sitemaps of sitemaps; `most` cuts within a file."""
+    place = lambda *n: "<urlset>" + "".join(f"<url><loc>p{i}</loc></url>" for i in n) + "<url><loc> </loc></url></urlset>"
+    maps = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    files = [("r", maps("b", "a", "r", "none")), ("a", place(3, 1)), ("b", maps("c") + place(2)), ("c", place(*range(10, 6010)) + maps("d")), ("d", place(9)), ("e", None), ("f", place())]
+    roots = spark.createDataFrame([("s", "r"), ("t", "a"), ("u", "e"), ("u", "f")], "site string, url string")
+    whole = [("s", i, f"p{n}") for i, n in enumerate([3, 1, 2, *range(10, 6010)])] + [("t", 0, "p3"), ("t", 1, "p1")]
+    for most in (None, 5000, 4, 3, 1):
+        got = boards.sitemap_links(roots, spark.createDataFrame(files, "url string, body string"), most=most).collect()
+        assert sorted(tuple(r) for r in got) == [r for r in whole if most is None or r[1] < most], most

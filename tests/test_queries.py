@@ -29,7 +29,7 @@ def many_suppliers(data, tmp_path_factory):
     return str(out), own
 
 
-@pytest.mark.parametrize("name", ["q_get_job"])
+@pytest.mark.parametrize("name", ["q_get_job", "q_sitemap_links"])
 def test_equals_sql_with_many_suppliers(spark, many_suppliers, name):
     same(QUERIES[name](spark, many_suppliers[0]), many_suppliers[1].sql(SQL[name]))
 
