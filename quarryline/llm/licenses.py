@@ -1,11 +1,15 @@
-"""License scans by exact wording, ranked by conditional compression.
-
-Each cue in a text is laid on each like cue of each template. The words around it, as many as the template has and its slack, are
-aligned with the template's at least cost: words missing or added within the span count one each, up to `tolerance` of the template's
-words; a number or a deciding word may neither miss nor be added. Lines, sentences and the words around play no part, so a notice is
-found within a longer line and over wrapped lines alike. A template is skipped only where the words at hand can't reach its tolerance.
-Notices are ranked by the bytes that zstandard saves on the span with the template as a raw dictionary, less some for each word that
-differs, as licenses that hold each other's clauses save alike; of those that overlap, the first in rank stays.
+"""License scans by conditional compression.
+
+The words around a text's cues, as far as the longest template and its slack reach, form blocks. Each block is compressed by zstandard
+alone and with each template as a raw dictionary, and templates are ranked by the share of its size that they save. Words are compressed
+lower-cased and with one space between, so that wraps and marks play no part. From the best down a template is confirmed by its exact
+wording: each cue is laid on each like cue of the template and the words around, as many as the template has and its slack, are aligned
+with it at least cost: words missing or added within the span count one each, up to `tolerance` of the template's words; a number or a
+deciding word may neither miss nor be added. A cue within a notice that stands word for word is settled for the templates further down;
+the rank ends nowhere else, so a notice of few words in a long block is found as well. A template is laid only where the words at hand
+can reach its tolerance.
+Where confirmed notices overlap, each span is compressed alone and with its template: the most bytes saved, less some for each word that
+differs, as licenses that hold each other's clauses save alike, stays.
 
 Blocks: confirmed notices; the cues outside them lie in blocks without a license: the lines of a run of such cues (cut at `block_words`
 words), of a line over `line_words` words each sentence. Nothing is left out: every cue lies in a block.
@@ -69,7 +73,7 @@ CUE = re.compile(r"licen[cs]|copyright|redistribut|public domain|creative common
 _WRAPPED = re.compile(r"licen[cs]|copyright|redistribut|public[\W_]+domain|creative[\W_]+commons|\bcc[\W_]*(?:by|0)\b|permission[\W_]+is[\W_]+hereby|all[\W_]+rights[\W_]+reserved|spdx|free[\W_]+software|warrant", re.I)
 _QUICK = ("licen", "copyright", "redistribut", "domain", "creative", "cc", "hereby", "reserved", "spdx", "software", "warrant")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-_WORD_BYTES = 2
+_WORD_BYTES, _LONGEST, _RUN_WORDS = 2, 64, 1000
 _SENTENCE = re.compile(r"[^.!?]+(?:[.!?](?!\s|$)[^.!?]*)*[.!?]*")
 
 
@@ -120,19 +124,43 @@ def _cues(text: str) -> list[tuple[int, str]]:
 
 @lru_cache(maxsize=2)
 def _prepared(templates: tuple[tuple[str, str], ...]):
-    """Compressors without and with each template, each template's compressed size and words, and (template, word) of each cue's wording."""
+    """Compressors without and with each template, each template's compressed size, its words, their counts, and by each cue's wording the
+    words at which each template has it."""
     import zstandard as z
 
     plain = z.ZstdCompressor(level=3, write_content_size=False)
-    own = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False) for _, t in templates]
     words, places = [], {}
     for i, (_, t) in enumerate(templates):
         found = list(_WORD.finditer(t))
         words.append([m[0].lower() for m in found])
         ends = [m.end() for m in found]
         for at, cue in _cues(t):
-            places.setdefault(cue, []).append((i, bisect_right(ends, at)))
-    return plain, own, [len(plain.compress(t.encode())) for _, t in templates], words, [Counter(w) for w in words], places
+            places.setdefault(cue, {}).setdefault(i, []).append(bisect_right(ends, at))
+    raw = [_raw(w) for w in words]
+    own = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(r, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False) for r in raw]
+    return plain, own, [len(plain.compress(r)) for r in raw], words, [Counter(w) for w in words], places
+
+
+def _raw(words: list[str]) -> bytes:
+    """Words as they are compressed; of a long one its start, so that a block stays within the reach of a dictionary."""
+    return " ".join(w[:_LONGEST] for w in words).encode()
+
+
+def savings(block: list[str], templates: tuple[tuple[str, str], ...]) -> list[tuple[float, int]]:
+    """(share of the block's size saved, template number) of every template, the best first; ties by number."""
+    plain, own = _prepared(templates)[:2]
+    raw = _raw(block)
+    alone = len(plain.compress(raw))
+    return sorted(((1 - len(c.compress(raw)) / alone, i) for i, c in enumerate(own)), key=lambda x: (-x[0], x[1]))
+
+
+def _runs(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
+    """Ranges of cues, given by their words, that share a block: apart by `reach` at most and, first to last, by `_RUN_WORDS`."""
+    first = 0
+    for j in range(1, len(at) + 1):
+        if j == len(at) or at[j] - at[j - 1] > reach or at[j] - at[first] > _RUN_WORDS:
+            yield first, j
+            first = j
 
 
 def _fixed(word: str) -> bool:
@@ -171,25 +199,33 @@ def notices(text: str, templates: tuple[tuple[str, str], ...], tolerance: float)
         return []
     found = list(_WORD.finditer(text))
     low, ends = [m[0].lower() for m in found], [m.end() for m in found]
+    at = [bisect_right(ends, x) for x, _ in cues]
+    reach = max(map(len, words))
+    reach += int(tolerance * reach)
     spans: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for at, cue in cues:
-        c = bisect_right(ends, at)
-        for i, k in places[cue]:
+    for first, last in _runs(at, reach):
+        left = range(first, last)
+        for _, i in savings(low[max(at[first] - reach, 0) : at[last - 1] + reach], templates):
             n = len(words[i])
             most = int(tolerance * n)
-            a = c - k
-            if a >= 0 and low[a : a + n] == words[i]:
-                spans[i, a, a + n] = (0, 0)
-            elif most:
-                a = max(a - most, 0)
-                near = low[a : c - k + n + most]
-                if sum((bags[i] & Counter(near)).values()) >= n - most and (x := wording(near, words[i], most)):
-                    spans[i, a + x[0], a + x[1]] = x[2:]
+            settled = set()
+            for j in left:
+                for k in places[cues[j][1]].get(i, ()):
+                    a = at[j] - k
+                    if a >= 0 and low[a : a + n] == words[i]:
+                        spans[i, a, a + n] = (0, 0)
+                        settled.update(range(a, a + n))
+                    elif most:
+                        a = max(a - most, 0)
+                        near = low[a : at[j] - k + n + most]
+                        if sum((bags[i] & Counter(near)).values()) >= n - most and (x := wording(near, words[i], most)):
+                            spans[i, a + x[0], a + x[1]] = x[2:]
+            left = [j for j in left if at[j] not in settled]
     ranked = []
     for _, i, a, b, missing, added in _apart([(x + y, i, a, b, x, y) for (i, a, b), (x, y) in spans.items()], lambda x: (x[1], *x[2:4])):
         start, end = found[a].start(), ends[b - 1]
         end += text[end : end + 1] in {".", ":"}  # the mark that ends the notice
-        raw = text[start:end].encode()
+        raw = _raw(low[a:b])
         saved = len(plain.compress(raw)) - len(own[i].compress(raw))
         ranked.append((_WORD_BYTES * (missing + added) - saved, missing + added, i, start, end, missing, added, saved))
     return sorted((start, end, templates[i][0], saved / sizes[i], missing, added) for _, _, i, start, end, missing, added, saved in _apart(ranked, lambda x: (0, *x[3:5])))

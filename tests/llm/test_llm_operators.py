@@ -461,6 +461,39 @@ def test_op7_whole_licenses():
         assert [x[2] for x in got if x[1] - x[0] > 100] == [name] and got[-1][4:] == (0, 0), name
 
 
+def test_op7_templates_are_ranked_by_conditional_compression(monkeypatch):
+    """Shares saved equal compressors made anew for each template, the best comes first and holds the notice's words; a block is ranked
+    before a wording is tried, and the rank decides which exact notice settles a cue."""
+    import zstandard as z
+
+    t = tuple(licenses.TEMPLATES)
+    words = lambda x: [m[0].lower() for m in licenses._WORD.finditer(x)]
+    size = lambda raw, **k: len(z.ZstdCompressor(level=3, write_content_size=False, **k).compress(raw))
+    for _, wording in t:
+        block = OWN * 3 + words(wording) + OWN
+        raw = " ".join(block).encode()
+        shares = [1 - size(raw, dict_data=z.ZstdCompressionDict(" ".join(words(x)).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) / size(raw) for _, x in t]
+        got = licenses.savings(block, t)
+        assert got == sorted(((s, i) for i, s in enumerate(shares)), key=lambda x: (-x[0], x[1])) and got[0][0] > 0
+        assert set(words(wording)) <= set(words(t[got[0][1]][1])), wording
+    seen, ranked = [], licenses.savings
+    text = f"{' '.join(OWN)} {t[-1][1]}"
+    monkeypatch.setattr(licenses, "savings", lambda block, x: seen.append(block) or ranked(block, x))
+    assert [text[x[0] : x[1]] for x in licenses.notices(text, t, 0.15)] == [t[-1][1]] and seen == [words(text)]
+    monkeypatch.setattr(licenses, "savings", lambda block, x: ranked(block, x)[::-1])
+    assert [text[x[0] : x[1]] for x in licenses.notices(text, t, 0.15)] == ["All rights reserved."]
+
+
+def test_op7_blocks_of_a_long_text():
+    """Notices of every template one after another in a text of many blocks: every cue is in one, with all that a template reaches."""
+    t = tuple(licenses.TEMPLATES)
+    own = " ".join(OWN * 5)
+    text = own + "".join(f" {x} {own}" for _, x in t)
+    assert [(x[2], text[x[0] : x[1]]) for x in licenses.notices(text, t, 0.15)] == list(t)
+    at = [0, 5, 300, 1000, 1001, 1500, 5000]
+    assert list(licenses._runs(at, 700)) == [(0, 4), (4, 6), (6, 7)] and list(licenses._runs([], 9)) == []
+
+
 def test_op7_alignment_is_the_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(60):
